@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name to its module; each module has query(spark, sf_dir) and ORACLE_SQL (None: not expressible).
 MODULES = {
     "op1_quality_rules": "quality_rules",
+    "op5_token_counts": "token_counts",
+    "op6_byte_bpe": "byte_bpe",
     "op10_best_fit_packing": "packing",
 }
 
