@@ -12,6 +12,7 @@ MODULES = {
     "op1_quality_rules": "quality_rules",
     "op5_token_counts": "token_counts",
     "op6_byte_bpe": "byte_bpe",
+    "op7_warc_archive": "warc_archive",
     "op10_best_fit_packing": "packing",
 }
 
