@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name to its module; each module has query(spark, sf_dir) and ORACLE_SQL (None: not expressible).
 MODULES = {
     "op1_quality_rules": "quality_rules",
+    "op2_language_id": "language_id",
     "op5_token_counts": "token_counts",
     "op6_byte_bpe": "byte_bpe",
     "op7_warc_archive": "warc_archive",
