@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_quality_rules": "quality_rules",
     "op2_language_id": "language_id",
+    "op3_class_lm": "class_lm",
     "op5_token_counts": "token_counts",
     "op6_byte_bpe": "byte_bpe",
     "op7_warc_archive": "warc_archive",
