@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabulon.llm.byte_level import encoder
 from tabulon.llm.common import materialise, small_batches, table
-from tabulon.llm.pieces import PieceCache, cut
 
 CAPACITY = 2048
 END = 0
@@ -34,25 +34,9 @@ TOKENIZER = "byte_bpe_50k.json"
 
 ORACLE_SQL = None
 
-_CACHES: dict[str, PieceCache] = {}
-
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, seen bigint"
 
 
-def _cache(path: str) -> PieceCache:
-    """A worker's cache of token ids, as little-endian 32-bit words, kept from task to task."""
-    if path not in _CACHES:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-
-        def encode(pieces: list[str]) -> list[bytes]:
-            return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(pieces, add_special_tokens=False)]
-
-        _CACHES[path] = PieceCache(encode)
-    return _CACHES[path]
-
-
 def spans(n: int, capacity: int) -> list[tuple[int, int]]:
     """Start and length of the pieces of n tokens: full ones, and before them what is left over."""
     first = n % capacity
@@ -66,13 +50,12 @@ def pieces(docs: DataFrame, *, tokenizer: str, capacity: int = CAPACITY, end: in
     tail = np.asarray([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, made = _cache(tokenizer), Counter()
+        encode, made = encoder(tokenizer), Counter()
         part = TaskContext.get().partitionId()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             out: list[list] = [[] for _ in range(6)]
-            for doc, values in zip(batch.column(0).to_pylist(), cache.of([cut(t) for t in texts]), strict=True):
-                ids = b"".join(values) + tail
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = encode(text or "") + tail
                 for k, (start, length) in enumerate(spans(len(ids) // 4, capacity)):
                     for column, value in zip(out, (doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), made[length]), strict=True):
                         column.append(value)

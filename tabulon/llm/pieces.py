@@ -7,64 +7,11 @@ repeat a lot, and whose tokens, one piece after the other, are the tokens of the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import re
 
-#: A worker's cache is emptied beyond so many pieces; longer pieces are not kept at all.
-CACHE_PIECES = 400_000
-CACHE_CHARS = 64
-
-
-def _words(line: str) -> list[str]:
-    parts = line.split(" ")
-    if len(parts) == 1:
-        return parts
-    out = [parts[0]]
-    joined = parts[0] != "" and not parts[0][-1].isspace()  # whether a cut may follow what is there
-    for part in parts[1:]:
-        if part == "" or not joined or part[0].isspace():
-            out[-1] += " " + part
-        else:
-            out.append(" " + part)
-        joined = part != "" and not part[-1].isspace()
-    return out
+_CUTS = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
 
 
 def cut(text: str) -> list[str]:
     """The pieces of a text; joined together they are the text."""
-    if "\n" not in text:
-        return _words(text) if text else []
-    lines = text.split("\n")
-    out: list[str] = []
-    pending = lines[0]
-    for line in lines[1:]:
-        if pending == "" or line == "" or pending[-1].isspace() or line[0].isspace():
-            pending += "\n" + line
-        else:
-            out += _words(pending)
-            out.append("\n")
-            pending = line
-    if pending:
-        out += _words(pending)
-    return out
-
-
-class PieceCache:
-    """Values of pieces, computed in batches for those not seen yet."""
-
-    def __init__(self, compute: Callable[[list[str]], Iterable[bytes]], known: dict[str, bytes] | None = None) -> None:
-        self.compute, self.known, self.values = compute, known or {}, dict(known or {})
-
-    def of(self, pieces: list[list[str]]) -> list[list[bytes]]:
-        """The value of every piece of every text."""
-        seen = self.values
-        if len(seen) > CACHE_PIECES:
-            seen = self.values = dict(self.known)
-        missing = [p for p in set().union(*pieces) if p not in seen]
-        if not missing:
-            return [[seen[p] for p in text] for text in pieces]
-        fresh = dict(zip(missing, self.compute(missing), strict=True))
-        short = {p: v for p, v in fresh.items() if len(p) <= CACHE_CHARS}
-        seen.update(short)
-        if len(short) == len(fresh):
-            return [[seen[p] for p in text] for text in pieces]
-        return [[seen[p] if p in seen else fresh[p] for p in text] for text in pieces]
+    return _CUTS.split(text) if text else []
