@@ -53,50 +53,59 @@ def _covered(grams: Column) -> Column:
     return let(_repeated_positions(grams), length)
 
 
-def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """The statistics of every whole text: ``keep`` columns, the base counts (long) and FEATURES."""
-    whole = F.coalesce(F.col("text"), F.lit(""))
+def _counts(whole: Column) -> Column:
+    """The base counts of a text and what the shares need, as one struct."""
     trimmed = F.trim(whole, F.lit(BLANKS))
-    split = docs.select(
-        *keep,
-        whole.alias("_text"),
-        F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_CLASS + "+")).alias("_words"),
-        F.filter(F.split(whole, "\n"), lambda x: x.rlike(rf"[^\x20\x09-\x0D]")).alias("_lines"),
-    )
-    grams = F.when(
-        F.size("_words") >= 3,
-        F.transform(
-            F.sequence(F.lit(0), F.size("_words") - 3),
-            lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)),
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_CLASS + "+"))
+    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    without = lambda pattern: F.length(whole) - F.length(F.regexp_replace(whole, pattern, ""))
+
+    def grams(w: Column) -> Column:
+        window = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when(F.size(w) >= 3, window).otherwise(F.array().cast("array<bigint>"))
+
+    def repeated(g: Column) -> Column:
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(_covered(g))
+
+    of_words = let(
+        words,
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            let(grams(w), repeated).alias("n_repeat_words"),
         ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    without = lambda pattern: F.length("_text") - F.length(F.regexp_replace("_text", pattern, ""))
-    counted = split.select(
-        *keep,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+    )
+    of_lines = let(lines, lambda x: F.struct(F.size(x).alias("lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    return F.struct(
+        of_words.alias("w"),
+        of_lines.alias("l"),
         without(r"[#*$%&|<>]").cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size("_lines").alias("_n_lines"),
-        without("[A-Z]").alias("_n_upper"),
-        without("[!?]").alias("_n_bang"),
-        grams.alias("_grams"),
+        without("[A-Z]").alias("upper"),
+        without("[!?]").alias("bang"),
     )
+
+
+def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
+    """The statistics of every whole text: ``keep`` columns, the base counts (long) and FEATURES.
+
+    The counts leave a generator, which later filters are not pushed through: they are made
+    once a row, whatever is asked of them.
+    """
+    counted = docs.select(*keep, F.explode(F.array(_counts(F.coalesce(F.col("text"), F.lit(""))))).alias("_s"))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
-    repeated = F.when(F.size(F.array_distinct("_grams")) == F.size("_grams"), F.lit(0).cast("long")).otherwise(_covered(F.col("_grams")))
-    return counted.withColumn("n_repeat_words", repeated).select(
+    return counted.select(
         *keep,
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        share("word_chars", "n_words").alias("mean_word"),
-        share("n_symbols", "n_words").alias("symbol_share"),
-        share("n_dup_lines", "_n_lines").alias("dup_line_share"),
-        share("n_repeat_words", "n_words").alias("repeat_share"),
-        share("_n_upper", "word_chars").alias("upper_share"),
-        share("_n_bang", "n_words").alias("bang_share"),
+        F.col("_s.w.n_words").alias("n_words"),
+        F.col("_s.w.word_chars").alias("word_chars"),
+        F.col("_s.n_symbols").alias("n_symbols"),
+        F.col("_s.l.n_dup_lines").alias("n_dup_lines"),
+        F.col("_s.w.n_repeat_words").alias("n_repeat_words"),
+        share("_s.w.word_chars", "_s.w.n_words").alias("mean_word"),
+        share("_s.n_symbols", "_s.w.n_words").alias("symbol_share"),
+        share("_s.l.n_dup_lines", "_s.l.lines").alias("dup_line_share"),
+        share("_s.w.n_repeat_words", "_s.w.n_words").alias("repeat_share"),
+        share("_s.upper", "_s.w.word_chars").alias("upper_share"),
+        share("_s.bang", "_s.w.n_words").alias("bang_share"),
     )
 
 
