@@ -36,6 +36,8 @@ from tabulon.llm.pieces import cut
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of text in a block at most, unless one text alone is longer.
 BLOCK_CHARS = 32_000_000
+#: Texts that are compressed together.
+TEXTS_TOGETHER = 64
 #: Piece splits that a worker keeps while it makes a block.
 SPLIT_CACHE = 200_000
 
@@ -45,7 +47,9 @@ _SPLIT = regex.compile(public_tokenizers.PATTERN)
 _ENCODERS: dict[str, object] = {}
 _TOKENS: dict[str, list[bytes]] = {}
 
-_BLOCKS = "block string, bucket int, doc_id bigint, payload binary"
+_BLOCKS = "block string, bucket int, doc_ids array<bigint>, sizes array<int>, payload binary"
+#: What a row of a block holds, if not a bucket's word list (its number, from 0).
+_TEXTS, _PLACES = -1, -2
 _IDS = "block string, bucket int, ids binary"
 
 
@@ -112,34 +116,48 @@ class _Block:
         self.chars += len(text)
 
     def batches(self, buckets: int) -> Iterator[pa.RecordBatch]:
-        """The documents, then the word lists, numbered through bucket after bucket."""
-        words = [w.encode() for w in self.index]
-        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), dtype=np.int64, count=len(words))
+        """The texts, the bucket of every word, and the word lists by bucket.
+
+        Words are numbered by falling frequency, so that the sequences compress; a bucket's
+        list has its words in that order.
+        """
+        words = list(self.index)
+        if self.docs:
+            flat = np.concatenate([d for _, d in self.docs])
+            order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            number = np.empty(len(words), dtype="<u4")
+            number[order] = np.arange(len(words), dtype="<u4")
+            for k in range(0, len(self.docs), TEXTS_TOGETHER):
+                some = self.docs[k : k + TEXTS_TOGETHER]
+                data = number[np.concatenate([d for _, d in some])]
+                # a null id is a 0 with its size turned to ~size: a list with nulls would lose digits on the way to pandas
+                yield _batch(self.name, _TEXTS, [i or 0 for i, _ in some], [~len(d) if i is None else len(d) for i, d in some], _planes(data))
+            words = [words[i].encode() for i in order.tolist()]
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), dtype="<u4", count=len(words))
+        yield _batch(self.name, _PLACES, [], [], _planes(bucket))
         order = np.argsort(bucket, kind="stable")
-        number = np.empty(len(words), dtype="<u4")
-        number[order] = np.arange(len(words), dtype="<u4")
-        compress = zstandard.ZstdCompressor(level=3).compress
-        rows = []
-        for doc_id, flat in self.docs:
-            planes = np.ascontiguousarray(number[flat].view(np.uint8).reshape(-1, 4).T)  # like bytes together compress better
-            rows.append((self.name, -1, doc_id, compress(planes.tobytes())))
-            if len(rows) == 1024:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        for part in np.split(order, cuts) if len(words) else []:
-            yield _batch([(self.name, int(bucket[part[0]]), None, _pack([words[i] for i in part]))])
+        for part in np.split(order, cuts) if words else []:
+            yield _batch(self.name, int(bucket[part[0]]), [], [], _pack([words[i] for i in part.tolist()]))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "bucket", "doc_id", "payload"])
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers, compressed with their bytes of like weight together."""
+    return zstandard.ZstdCompressor(level=6).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _batch(block: str, bucket: int, doc_ids: list, sizes: list[int], payload: bytes) -> pa.RecordBatch:
+    arrays = [pa.array([block]), pa.array([bucket], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([payload])]
+    return pa.RecordBatch.from_arrays(arrays, names=["block", "bucket", "doc_ids", "sizes", "payload"])
 
 
 def blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Documents as index sequences (bucket -1) and, by bucket, the lists of distinct words."""
+    """Documents as sequences of word numbers, and the lists of distinct words by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -184,7 +202,7 @@ def encode(docs: DataFrame, *, ranks: str, buckets: int | None = None, digests:
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = materialise(blocks(docs, buckets), "bpe-blocks")
-    texts = made.where("bucket < 0").select("block", "doc_id", "payload")
+    texts = made.where("bucket < 0").select("block", "bucket", "doc_ids", "sizes", "payload")
     words = encode_words(made.where("bucket >= 0").select("block", "bucket", "payload"), ranks, buckets)
     columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
     kinds = ("bigint", "bigint", "string", "string") if digests else ("bigint", "bigint", "array<int>", "binary")
@@ -192,23 +210,26 @@ def encode(docs: DataFrame, *, ranks: str, buckets: int | None = None, digests:
     def put_together(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         table = _token_bytes(ranks)
         decimal = list(map(str, range(len(table))))
-        ids_of: list[bytes] = []
-        for _, packed in sorted(zip(words["bucket"], words["ids"], strict=True), key=lambda x: x[0]):
-            ids_of += _unpack(packed)
-        decompress = zstandard.ZstdDecompressor().decompress
+        lists = {int(b): iter(_unpack(packed)) for b, packed in zip(words["bucket"], words["ids"], strict=True)}
+        places = _numbers(texts.loc[texts["bucket"] == _PLACES, "payload"].iloc[0])
+        ids_of = [next(lists[b]) for b in places.tolist()]
+        texts = texts[texts["bucket"] == _TEXTS]
         out = []
-        for doc_id, payload in zip(texts["doc_id"], texts["payload"], strict=True):
-            planes = np.frombuffer(decompress(payload), dtype=np.uint8).reshape(4, -1)
-            at = np.ascontiguousarray(planes.T).view("<u4").ravel()
-            ids = np.frombuffer(b"".join([ids_of[i] for i in at.tolist()]), dtype="<u4").tolist()
-            decoded = b"".join([table[i] for i in ids])
-            if digests:
-                shown = " ".join([decimal[i] for i in ids])
-                out.append((doc_id, len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            else:
-                out.append((doc_id, len(ids), ids, decoded))
+        for doc_ids, sizes, payload in zip(texts["doc_ids"], texts["sizes"], texts["payload"], strict=True):
+            numbers, start = _numbers(payload).tolist(), 0
+            for doc_id, size in zip(doc_ids.tolist(), sizes.tolist(), strict=True):
+                if size < 0:
+                    doc_id, size = None, ~size
+                ids = np.frombuffer(b"".join([ids_of[i] for i in numbers[start : start + size]]), dtype="<u4").tolist()
+                start += size
+                decoded = b"".join([table[i] for i in ids])
+                if digests:
+                    shown = " ".join([decimal[i] for i in ids])
+                    out.append((doc_id, len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                else:
+                    out.append((doc_id, len(ids), ids, decoded))
         frame = pd.DataFrame(out, columns=columns)
-        return frame.astype({"doc_id": "Int64"})
+        return frame.assign(doc_id=pd.array([r[0] for r in out], dtype="Int64"))
 
     schema = ", ".join(f"{c} {k}" for c, k in zip(columns, kinds, strict=True))
     return texts.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(put_together, schema)
