@@ -1,7 +1,7 @@
 """Content-addressed WARC archive.
 
-Payload bytes are stored once, in ``response`` records of WARC/1.1 files, under their SHA-256
-digest. The exact header block of every record, responses and revisits, is kept apart in a
+Payload bytes are stored once, in ``response`` records of gzipped WARC/1.1 files, under their
+SHA-256 digest. The exact header block of every record, responses and revisits, is kept apart in a
 Parquet table. Reading parses the WARC files by Content-Length, verifies each payload against
 its digest, and joins header blocks with payloads by digest to give the records back.
 
@@ -18,6 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import materialise, shared_dir, table
+from tabulon.llm.common import shared_dir, table
 
 MIN_BYTES = 100
-#: Bytes of payload in one WARC file, about: a file is parsed whole by one task.
-FILE_BYTES = 16_000_000
+#: Records in one WARC file at most: a file is parsed whole by one task.
+FILE_RECORDS = 4096
 DATE = "2024-01-01T00:00:00Z"
 
 _CRLF = "\r\n"
@@ -71,16 +72,18 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return later.dropDuplicates(["page_id", "digest"])
 
 
-def records(pages: DataFrame, *, min_bytes: int = MIN_BYTES, date: str = DATE) -> DataFrame:
-    """page_id, digest, record_type, refers_to, the exact header block and the payload of every record."""
-    digest = F.sha2(_payload(), 256)
-    whole = pages.select("page_id", "url", _payload().alias("payload"), digest.alias("digest"))
+def records(pages: DataFrame, *, min_bytes: int = MIN_BYTES, date: str = DATE, content: bool = True) -> DataFrame:
+    """page_id, digest, record_type, refers_to, the exact header block and (with ``content``) the
+    payload of every record; without it no payload is moved."""
+    digest, size = F.sha2(_payload(), 256), F.octet_length(_payload())
+    payload = [_payload().alias("payload")] if content else []
+    whole = pages.select("page_id", "url", digest.alias("digest"), size.alias("_size"), *payload)
     later = revisits(pages, min_bytes).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
     joined = whole.join(later, (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
     revisit = F.col("refers_to").isNotNull()
     target = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit(_CRLF))
-    body = F.octet_length("payload") + len(_HTTP)
+    body = F.col("_size") + len(_HTTP)
     header = F.concat(
         F.lit("WARC/1.1" + _CRLF),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
@@ -95,19 +98,17 @@ def records(pages: DataFrame, *, min_bytes: int = MIN_BYTES, date: str = DATE) -
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.when(revisit, len(_HTTP)).otherwise(body).cast("string")),
     )
-    return joined.select("page_id", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), "refers_to", header.alias("header"), "payload")
+    return joined.select("page_id", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), "refers_to", header.alias("header"), *(["payload"] if content else []))
 
 
-def write_archive(pages: DataFrame, path: str, *, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> None:
+def write_archive(pages: DataFrame, path: str, *, min_bytes: int = MIN_BYTES, file_records: int = FILE_RECORDS) -> None:
     """Write path/warc (records with each payload once) and path/headers (every exact header block)."""
-    rows = materialise(records(pages, min_bytes=min_bytes), "warc-records")
-    rows.drop("payload").write.option("compression", "zstd").parquet(f"{path}/headers")
-    responses = rows.where("record_type = 'response'")
-    total = responses.agg(F.coalesce(F.sum(F.octet_length("payload") + F.octet_length("header")), F.lit(0))).first()[0]
+    records(pages, min_bytes=min_bytes, content=False).write.option("compression", "zstd").parquet(f"{path}/headers")
+    responses = records(pages, min_bytes=min_bytes).where("record_type = 'response'")
     record = F.concat("header", F.lit(_CRLF + _HTTP), "payload")
-    files = max(1, -(-total // file_bytes))
     # a record ends with two line ends, which the writer puts after each row
-    responses.select(record.alias("value")).repartition(files).write.option("lineSep", _CRLF * 2).text(f"{path}/warc")
+    writer = responses.select(record.alias("value")).write.option("lineSep", _CRLF * 2)
+    writer.option("compression", "gzip").option("maxRecordsPerFile", file_records).text(f"{path}/warc")
 
 
 _HEAD = re.compile(rb"WARC/1\.1\r\n(?:[^\r\n]+\r\n)*\r\n")
@@ -139,7 +140,7 @@ def read_payloads(spark: SparkSession, path: str, *, content: bool = True) -> Da
         for batch in batches:
             for data in batch.column(0):
                 rows: list[tuple] = []
-                for fields, block in parse(memoryview(data.as_buffer()).tobytes()):
+                for fields, block in parse(gzip.decompress(data.as_buffer())):
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
                     digest = hashlib.sha256(payload).hexdigest()
                     if fields["WARC-Payload-Digest"] != f"sha256:{digest}":
