@@ -12,6 +12,7 @@ MODULES = {
     "op1_quality_rules": "quality_rules",
     "op2_language_id": "language_id",
     "op3_class_lm": "class_lm",
+    "op4_code_search": "code_search",
     "op5_token_counts": "token_counts",
     "op6_byte_bpe": "byte_bpe",
     "op7_warc_archive": "warc_archive",
