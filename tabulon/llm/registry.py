@@ -16,6 +16,7 @@ MODULES = {
     "op5_token_counts": "token_counts",
     "op6_byte_bpe": "byte_bpe",
     "op7_warc_archive": "warc_archive",
+    "op8_license_scan": "license_scan",
     "op9_near_dup": "near_dup",
     "op10_best_fit_packing": "packing",
 }
