@@ -12,10 +12,10 @@ No bucket is turned into all of its pairs. Texts with equal sets are one class f
 start. In a bucket every class is paired with the bucket's hub, the class with the largest
 share of shingles that other candidates have too; after those links are verified on full sets
 and grouped by union-find, pairs across groups of a bucket remain. Of these only pairs are
-made that can still be linked: with s the shingles a class shares with any other candidate,
-the intersection is at most m = min(s, s'), so 100 m >= 80 (n + n' - m) must hold. An edited
-copy's own shingles are in no other text, so two copies too far from each other fail this
-without being compared. The bound never drops a link.
+made that can still be linked: the intersection is at most m, the least of s and s', the
+shingles each shares with any other candidate, and of (n + n' - d) / 2, where d is the number
+of bits in which bitmaps of the two sets differ; 100 m >= 80 (n + n' - m) must hold. Copies too
+far from each other fail this inside the join. The bound never drops a link.
 
 Defined results: a null text, or one without a word, has no shingles and is linked with
 nothing; rows with a null doc_id are linked with nothing and have a null component; rows with
@@ -37,6 +37,8 @@ from tabulon.llm.common import materialise, small_batches, table
 WORDS = 5
 SIMILARITY = 80
 BANDS, ROWS = 42, 6
+#: Bits, in words of 64, of the bitmap that bounds an intersection.
+BITMAP_WORDS = 16
 #: Random orders of the slots; an element picks one, and rotates it.
 ORDERS = 1024
 #: Texts whose signatures are made at once, and elements in them at most, unless one text has more.
@@ -158,17 +160,27 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, digest binary, bands array<bigint>")
 
 
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """Words in which every item sets a bit."""
+    out = np.zeros(BITMAP_WORDS, dtype=np.uint64)
+    bit = items % np.uint64(64 * BITMAP_WORDS)
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
 def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and the sorted shingle hashes."""
+    """The id, the sorted shingle hashes and their bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(values, [len(s) for s in sets])], names=["id", "items"])
+            maps = np.concatenate([bitmap(s) for s in sets]).view(np.int64) if sets else np.empty(0, dtype=np.int64)
+            columns = [batch.column(0), _lists(values, [len(s) for s in sets]), _lists(maps, [BITMAP_WORDS] * len(sets))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "items", "bits"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "id bigint, items array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "id bigint, items array<bigint>, bits array<bigint>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -254,6 +266,8 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: int = SI
     met = items.withColumn("_least", F.min("id").over(over)).withColumn("_most", F.max("id").over(over)).where("_least < _most")
     shared = met.groupBy("id").agg(F.count("*").alias("s"))
     facts = sets.groupBy("id").agg(F.max(F.size("items")).alias("n"), F.min(F.size("items")).alias("least")).join(shared, "id", "left")
+    # the bitmap of an id with several texts is unknown, and bounds nothing
+    single = sets.groupBy("id").agg(F.count("*").alias("_c"), F.first("bits").alias("bits")).select("id", F.when(F.col("_c") == 1, F.col("bits")).alias("bits"))
     sized = materialise(buckets.join(facts.select("id", "n", "least", F.coalesce("s", F.lit(0)).alias("s")), "id"), "near-sized")
 
     hub = F.max(F.struct(F.col("s") / F.col("n"), -F.col("id"), F.col("id").alias("id"))).over(Window.partitionBy("band"))["id"]
@@ -265,9 +279,11 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: int = SI
     over = Window.partitionBy("band")
     still = grouped.withColumn("_least", F.min("root").over(over)).withColumn("_most", F.max("root").over(over)).withColumn("_small", F.min("least").over(over))
     reach = lambda small, s, n: (100 + similarity) * s >= similarity * (n + small)
-    still = materialise(still.where("_least < _most").where(reach(F.col("_small"), F.col("s"), F.col("least"))).select("band", "id", "least", "s", "root"), "near-open")
+    still = materialise(still.where("_least < _most").where(reach(F.col("_small"), F.col("s"), F.col("least"))).join(single, "id").select("band", "id", "least", "s", "root", "bits"), "near-open")
     x, y = still.alias("x"), still.alias("y")
-    could = reach(F.col("y.least"), F.least("x.s", "y.s"), F.col("x.least"))
+    differ = sum((F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(BITMAP_WORDS)), F.lit(0))
+    most = F.least("x.s", "y.s", F.coalesce(F.floor((F.col("x.least") + F.col("y.least") - differ) / 2), F.lit(1 << 40)))
+    could = reach(F.col("y.least"), most, F.col("x.least"))
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & could)
     rest = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = materialise(verify(rest, sets, similarity), "near-links")
