@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabulon.functions.values import FUNCTIONS, NUM, VALUE, Val, error, first_error, function, guarded, num, trunc0
+from tabulon.functions.values import FUNCTIONS, NUM, VALUE, Val, bind, error, first_error, function, guarded, num, trunc0
 
 LAST = 2958465
 #: The 1904 system starts this many days later.
@@ -19,28 +19,42 @@ def _pmod(a: Column, n: int) -> Column:
 
 def first_of_month(y: Column, m: Column) -> Column:
     """Serial of the first day of a month; m may be out of 1 to 12."""
-    month = y * 12 + m - 1
-    year = F.floor(month / 12)
-    date = F.make_date(F.least(F.greatest(year, F.lit(1899)), F.lit(9999)).cast("int"), (_pmod(month, 12) + 1).cast("int"), F.lit(1))
-    days = F.datediff(date, F.lit(_ORIGIN).cast("date")).cast("double")
-    # beyond the years that dates have, months still count as about 30 days, which is out of range anyway
-    days = days + F.when(year > 9999, (year - 9999) * 366).when(year < 1899, (year - 1899) * 366).otherwise(0.0)
-    return F.when(days < 61, days - 1).otherwise(days)
 
+    def days(month: Column) -> Column:
+        year = F.floor(month / 12)
+        date = F.make_date(F.least(F.greatest(year, F.lit(1899)), F.lit(9999)).cast("int"), (_pmod(month, 12) + 1).cast("int"), F.lit(1))
+        # beyond the years that dates have, a year more or less is out of range all the same
+        past = F.greatest(year - 9999, F.lit(0)) + F.least(year - 1899, F.lit(0))
+        return (F.datediff(date, F.lit(_ORIGIN).cast("date")) + past * 366).cast("double")
 
-def civil(s: Column) -> tuple[Column, Column, Column]:
-    """Year, month and day of whole serials; 0 is 1900-01-00 and 60 is 1900-02-29."""
-    inside = F.when((s >= 0) & (s <= LAST), s)
-    date = F.date_add(F.lit(_ORIGIN).cast("date"), F.when(inside >= 61, inside).otherwise(inside + 1).cast("int"))
-    odd = (s == 0) | (s == 60)
-    pick = lambda usual, at0, at60: F.when(s == 60, at60).when(s == 0, at0).otherwise(usual).cast("double")
-    return F.when(odd, 1900.0).otherwise(F.year(date)).cast("double"), pick(F.month(date), 1, 2), pick(F.dayofmonth(date), 0, 29)
+    return bind([bind([y * 12 + m - 1], days)], lambda d: F.when(d < 61, d - 1).otherwise(d))
+
+
+def civil(s: Column) -> Column:
+    """Struct of year, month and day of a whole serial; 0 is 1900-01-00 and 60 is 1900-02-29."""
+
+    def parts(s: Column) -> Column:
+        inside = F.when((s >= 0) & (s <= LAST), F.when(s >= 61, s).otherwise(s + 1)).cast("int")
+        date = F.date_add(F.lit(_ORIGIN).cast("date"), inside)
+        pick = lambda usual, at0, at60: F.when(s == 60, at60).when(s == 0, at0).otherwise(usual).cast("double")
+        return F.struct(pick(F.year(date), 1900, 1900).alias("y"), pick(F.month(date), 1, 2).alias("m"), pick(F.dayofmonth(date), 0, 29).alias("d"))
+
+    return bind([F.floor(s)], parts)
+
+
+def with_civil(serials: list[Column], body) -> Column:
+    """body(y, m, d, ...) of each serial in turn."""
+    return bind([civil(s) for s in serials], lambda *t: body(*[x[k] for x in t for k in ("y", "m", "d")]))
 
 
 def _outside(s: Column) -> tuple[Column, str]:
     return (s < 0) | (s >= LAST + 1), NUM
 
 
+def _inside(s: Column) -> Column:
+    return bind([s], lambda x: F.when((x >= 0) & (x <= LAST), x))
+
+
 def _leap(y: Column) -> Column:
     return ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0) | (y == 1900)
 
@@ -49,51 +63,48 @@ def _days_in_month(y: Column, m: Column) -> Column:
     return first_of_month(y, m + 1) - first_of_month(y, m)
 
 
-@function("DATE", "i i i", "number")
+@function("DATE", "i i i", "number", once=True)
 def date(y, m, d):
     year = F.when((y >= 0) & (y < 1900), y + 1900).otherwise(y)
-    s = first_of_month(year, m) + d - 1
-    bad = (y < 0) | (y > 9999) | (s < 0) | (s > LAST)
-    return s, [(bad, NUM)]
+    s = bind([first_of_month(year, m) + d - 1], lambda s: F.when((s >= 0) & (s <= LAST), s))
+    return s, [((y < 0) | (y > 9999) | s.isNull(), NUM)]
 
 
-@function("TIME", "i i i", "number")
+@function("TIME", "i i i", "number", once=True)
 def time(h, m, s):
     total = h * 3600 + m * 60 + s
     return _pmod(total, 86400) / 86400, [((total < 0) | (h > 32767) | (m > 32767) | (s > 32767), NUM)]
 
 
-@function("YEAR", "n", "number")
+@function("YEAR", "n", "number", once=True)
 def year(s):
-    return civil(F.floor(s))[0], [_outside(s)]
+    return civil(s)["y"], [_outside(s)]
 
 
-@function("MONTH", "n", "number")
+@function("MONTH", "n", "number", once=True)
 def month(s):
-    return civil(F.floor(s))[1], [_outside(s)]
+    return civil(s)["m"], [_outside(s)]
 
 
-@function("DAY", "n", "number")
+@function("DAY", "n", "number", once=True)
 def day(s):
-    return civil(F.floor(s))[2], [_outside(s)]
+    return civil(s)["d"], [_outside(s)]
 
 
-@function("EDATE", "n i", "number")
+@function("EDATE", "n i", "number", once=True)
 def edate(s, months):
     """The same day so many months on, at most the month's last."""
-    y, m, d = civil(F.floor(s))
-    found = first_of_month(y, m + months) + F.least(d, _days_in_month(y, m + months)) - 1
-    return found, [_outside(s), ((found < 0) | (found > LAST), NUM)]
+    found = with_civil([s], lambda y, m, d: _inside(first_of_month(y, m + months) + F.least(d, _days_in_month(y, m + months)) - 1))
+    return found, [_outside(s), (found.isNull(), NUM)]
 
 
-@function("EOMONTH", "n i", "number")
+@function("EOMONTH", "n i", "number", once=True)
 def eomonth(s, months):
-    y, m, _ = civil(F.floor(s))
-    found = first_of_month(y, m + months + 1) - 1
-    return found, [_outside(s), ((found < 0) | (found > LAST), NUM)]
+    found = with_civil([s], lambda y, m, d: _inside(first_of_month(y, m + months + 1) - 1))
+    return found, [_outside(s), (found.isNull(), NUM)]
 
 
-@function("WEEKDAY", "n i=1", "number")
+@function("WEEKDAY", "n i=1", "number", once=True)
 def weekday(s, kind):
     d = F.floor(s)
     start = F.when(kind == 1, 1).when(kind == 2, 2).when((kind >= 11) & (kind <= 17), kind - 9)
@@ -102,22 +113,20 @@ def weekday(s, kind):
 
 
 def _iso_week(d: Column) -> Column:
-    thursday = d - _pmod(d - 2, 7) + 3
-    y, _, _ = civil(F.greatest(thursday, F.lit(0)))
-    return F.when(d <= 1, 52.0).otherwise(F.floor((thursday - first_of_month(y, F.lit(1))) / 7) + 1)
+    week = bind([F.greatest(d - _pmod(d - 2, 7) + 3, F.lit(0))], lambda t: F.floor((t - first_of_month(civil(t)["y"], F.lit(1))) / 7) + 1)
+    return F.when(d <= 1, 52.0).otherwise(week)
 
 
-@function("WEEKNUM", "n i=1", "number")
+@function("WEEKNUM", "n i=1", "number", once=True)
 def weeknum(s, kind):
     d = F.floor(s)
-    y, _, _ = civil(d)
-    jan1 = first_of_month(y, F.lit(1))
     start = F.when((kind == 1) | (kind == 17), 1).when((kind == 2) | (kind == 11), 2).when((kind >= 12) & (kind <= 16), kind - 9)
-    found = F.floor((d - jan1 + _pmod(jan1 - start, 7)) / 7) + 1
+    jan1 = first_of_month(civil(d)["y"], F.lit(1))
+    found = bind([jan1], lambda j: F.floor((d - j + _pmod(j - start, 7)) / 7) + 1)
     return F.when(kind == 21, _iso_week(d)).otherwise(found).cast("double"), [_outside(s), (start.isNull() & (kind != 21), NUM)]
 
 
-@function("ISOWEEKNUM", "n", "number")
+@function("ISOWEEKNUM", "n", "number", once=True)
 def isoweeknum(s):
     return _iso_week(F.floor(s)).cast("double"), [_outside(s)]
 
@@ -163,14 +172,18 @@ def networkdays_intl(start: object, end: object, weekend: object = 1, holidays:
     work, bad = _mask(1 if weekend is None else weekend, False)
     if bad:
         return error(bad)
-    x, y = F.floor(a.v), F.floor(b.v)
-    low, high = F.least(x, y), F.greatest(x, y)
-    n = _through(high, work) - _through(low - 1, work)
     off = _holidays(holidays, work)
-    if off is not None:
-        n = n - F.size(F.filter(off, lambda h: (h >= low) & (h <= high)))
-    err = first_error(a.e, b.e, F.when(_outside(a.v)[0] | _outside(b.v)[0], F.lit(NUM)))
-    return guarded("number", (n * F.when(x > y, -1).otherwise(1)).cast("double"), err)
+
+    def count(x: Column, y: Column) -> Column:
+        low, high = F.least(x, y), F.greatest(x, y)
+        n = _through(high, work) - _through(low - 1, work)
+        if off is not None:
+            n = n - F.size(F.filter(off, lambda h: (h >= low) & (h <= high)))
+        good = (low >= 0) & (high <= LAST)
+        return F.when(good, n * F.when(x > y, -1).otherwise(1)).cast("double")
+
+    found = bind([F.floor(a.v), F.floor(b.v)], count)
+    return guarded("number", found, first_error(a.e, b.e, F.when(found.isNull(), F.lit(NUM))))
 
 
 def networkdays(start: object, end: object, holidays: object = None) -> Val:
@@ -182,21 +195,24 @@ def workday_intl(start: object, days: object, weekend: object = 1, holidays: obj
     work, bad = _mask(1 if weekend is None else weekend, True)
     if bad:
         return error(bad)
-    s, d = F.floor(a.v), trunc0(n.v)
-    after = lambda k: _nth(_through(s, work) + k, work)
-    before = lambda k: _nth(_through(s - 1, work) - k + 1, work)
     off = _holidays(holidays, work)
-    if off is None:
-        forward, back = after(d), before(-d)
-    else:
-        # holidays on the way move the day on, which may pass further holidays
-        rounds = F.sequence(F.lit(0), F.size(off))
-        met = F.aggregate(rounds, F.lit(0), lambda m, _: F.size(F.filter(off, lambda h: (h > s) & (h <= after(d + m)))))
-        missed = F.aggregate(rounds, F.lit(0), lambda m, _: F.size(F.filter(off, lambda h: (h < s) & (h >= before(-d + m)))))
-        forward, back = after(d + met), before(-d + missed)
-    found = F.when(d == 0, s).when(d > 0, forward).otherwise(back).cast("double")
-    err = first_error(a.e, n.e, F.when(_outside(a.v)[0], F.lit(NUM)), F.when((found < 0) | (found > LAST), F.lit(NUM)))
-    return guarded("number", found, err)
+
+    def move(s: Column, d: Column) -> Column:
+        after = lambda k: _nth(_through(s, work) + k, work)
+        before = lambda k: _nth(_through(s - 1, work) - k + 1, work)
+        if off is None:
+            forward, back = after(d), before(-d)
+        else:
+            # holidays on the way move the day on, which may pass further holidays
+            rounds = F.sequence(F.lit(0), F.size(off))
+            met = F.aggregate(rounds, F.lit(0), lambda m, _: F.size(F.filter(off, lambda h: (h > s) & (h <= after(d + m)))))
+            missed = F.aggregate(rounds, F.lit(0), lambda m, _: F.size(F.filter(off, lambda h: (h < s) & (h >= before(-d + m)))))
+            forward, back = after(d + met), before(-d + missed)
+        found = F.when(d == 0, s).when(d > 0, forward).otherwise(back).cast("double")
+        return F.when((s >= 0) & (s <= LAST), _inside(found))
+
+    found = bind([F.floor(a.v), trunc0(n.v)], move)
+    return guarded("number", found, first_error(a.e, n.e, F.when(found.isNull(), F.lit(NUM))))
 
 
 def workday(start: object, days: object, holidays: object = None) -> Val:
@@ -214,34 +230,37 @@ def _thirty(y1, m1, d1, y2, m2, d2) -> Column:
     return (y2 - y1) * 360 + (m2 - m1) * 30 + (d2 - d1)
 
 
-@function("DAYS360", "n n b=FALSE", "number")
+@function("DAYS360", "n n b=FALSE", "number", once=True)
 def days360(a, b, european):
-    y1, m1, d1 = civil(F.floor(a))
-    y2, m2, d2 = civil(F.floor(b))
-    eu = _thirty(y1, m1, F.least(d1, F.lit(30)), y2, m2, F.least(d2, F.lit(30)))
-    s = F.when((d1 == 31) | _feb_end(y1, m1, d1), 30).otherwise(d1)
-    us = _thirty(y1, m1, s, y2, m2, F.when((d2 == 31) & (s >= 30), 30).otherwise(d2))
-    return F.when(european, eu).otherwise(us).cast("double"), [_outside(a), _outside(b)]
+    def count(y1, m1, d1, y2, m2, d2):
+        eu = _thirty(y1, m1, F.least(d1, F.lit(30)), y2, m2, F.least(d2, F.lit(30)))
+        start = F.when((d1 == 31) | _feb_end(y1, m1, d1), 30).otherwise(d1)
+        us = bind([start], lambda s: _thirty(y1, m1, s, y2, m2, F.when((d2 == 31) & (s >= 30), 30).otherwise(d2)))
+        return F.when(european, eu).otherwise(us).cast("double")
 
+    return with_civil([a, b], count), [_outside(a), _outside(b)]
 
-@function("YEARFRAC", "n n i=0", "number")
-def yearfrac(start, end, basis):
-    a, b = F.floor(F.least(start, end)), F.floor(F.greatest(start, end))
-    y1, m1, d1 = civil(a)
-    y2, m2, d2 = civil(b)
+
+def _year_fraction(basis: Column, days: Column, a: Column, b: Column, y1, m1, d1, y2, m2, d2) -> Column:
     both, first, last = (d1 == 31) & (d2 == 31), d1 == 31, (d1 == 30) & (d2 == 31)
     feb1, feb2 = _feb_end(y1, m1, d1), _feb_end(y2, m2, d2)
     s = F.when(both | first, 30).when(last, d1).when(feb1, 30).otherwise(d1)
     e = F.when(both, 30).when(first, d2).when(last, 30).when(feb1 & feb2, 30).otherwise(d2)
     us = _thirty(y1, m1, s, y2, m2, e) / 360
     eu = _thirty(y1, m1, F.least(d1, F.lit(30)), y2, m2, F.least(d2, F.lit(30))) / 360
-    days = b - a
     short = (y1 == y2) | ((y2 == y1 + 1) & ((m1 > m2) | ((m1 == m2) & (d1 >= d2))))
     leap1 = _leap(y1) & (a <= first_of_month(y1, F.lit(3)) - 1)
     leap2 = _leap(y2) & (b >= first_of_month(y2, F.lit(3)) - 1)
     year_days = F.when(F.when(y1 == y2, _leap(y1)).otherwise(leap1 | leap2), 366).otherwise(365)
-    years = y2 - y1 + 1
     span = first_of_month(y2 + 1, F.lit(1)) - first_of_month(y1, F.lit(1))
-    actual = F.when(short, days / year_days).otherwise(days * years / span)
-    found = F.when(basis == 0, us).when(basis == 1, actual).when(basis == 2, days / 360).when(basis == 3, days / 365).when(basis == 4, eu)
+    actual = F.when(short, days / year_days).otherwise(days * (y2 - y1 + 1) / span)
+    return F.when(basis == 0, us).when(basis == 1, actual).when(basis == 2, days / 360).when(basis == 3, days / 365).when(basis == 4, eu)
+
+
+@function("YEARFRAC", "n n i=0", "number", once=True)
+def yearfrac(start, end, basis):
+    found = bind(
+        [F.floor(F.least(start, end)), F.floor(F.greatest(start, end))],
+        lambda a, b: with_civil([a, b], lambda *parts: _year_fraction(basis, b - a, a, b, *parts)),
+    )
     return found, [_outside(start), _outside(end), ((basis < 0) | (basis > 4), NUM)]

@@ -34,25 +34,25 @@ def _fv(rate, n, pmt, pv, kind) -> Column:
     return F.when(rate == 0, -(pv + pmt * n)).otherwise(-pv * g - pmt * _due(rate, kind) * F.try_divide(less, rate))
 
 
-@function("PMT", "n n n n=0 n=0", "number", finite=True)
+@function("PMT", "n n n n=0 n=0", "number", finite=True, once=True)
 def pmt(rate, n, pv, fv, kind):
     found = _pmt(rate, n, pv, fv, kind)
     return found, [((rate == 0) & (n == 0), DIV0), ((rate <= -1) | _growth(rate, n)[2] | found.isNull(), NUM)]
 
 
-@function("FV", "n n n n=0 n=0", "number", finite=True)
+@function("FV", "n n n n=0 n=0", "number", finite=True, once=True)
 def fv(rate, n, pmt_, pv, kind):
     return _fv(rate, n, pmt_, pv, kind), [(_growth(rate, n)[2], NUM)]
 
 
-@function("PV", "n n n n=0 n=0", "number", finite=True)
+@function("PV", "n n n n=0 n=0", "number", finite=True, once=True)
 def pv(rate, n, pmt_, fv_, kind):
     g, less, bad = _growth(rate, n)
     found = F.when(rate == 0, -(fv_ + pmt_ * n)).otherwise(-F.try_divide(fv_ + pmt_ * _due(rate, kind) * F.try_divide(less, rate), g))
     return found, [((rate == -1) | bad, NUM)]
 
 
-@function("NPER", "n n n n=0 n=0", "number", finite=True)
+@function("NPER", "n n n n=0 n=0", "number", finite=True, once=True)
 def nper(rate, pmt_, pv_, fv_, kind):
     ratio = F.try_divide(-rate * (pv_ + fv_), pmt_ * _due(rate, kind) + pv_ * rate)
     found = F.when(rate == 0, -F.try_divide(pv_ + fv_, pmt_)).otherwise(F.try_divide(F.log1p(F.when(ratio > -1, ratio)), F.log1p(F.when(rate > -1, rate))))
@@ -65,12 +65,12 @@ def _ipmt(rate, per, n, pv_, fv_, kind) -> Column:
     return F.when((kind != 0) & (per == 1), 0.0).when(kind != 0, F.try_divide(owed, 1 + rate)).otherwise(owed)
 
 
-@function("IPMT", "n n n n n=0 n=0", "number", finite=True)
+@function("IPMT", "n n n n n=0 n=0", "number", finite=True, once=True)
 def ipmt(rate, per, n, pv_, fv_, kind):
     return _ipmt(rate, per, n, pv_, fv_, kind), [((per < 1) | (per >= n + 1) | (rate <= -1), NUM)]
 
 
-@function("PPMT", "n n n n n=0 n=0", "number", finite=True)
+@function("PPMT", "n n n n n=0 n=0", "number", finite=True, once=True)
 def ppmt(rate, per, n, pv_, fv_, kind):
     found = _pmt(rate, n, pv_, fv_, kind) - _ipmt(rate, per, n, pv_, fv_, kind)
     return found, [((per < 1) | (per >= n + 1) | (rate <= -1), NUM)]
@@ -92,36 +92,36 @@ def _cumulative_bad(rate, n, pv_, start, end, kind) -> Column:
     return (rate <= 0) | (n <= 0) | (pv_ <= 0) | (start < 1) | (end < start) | (end > n) | ((kind != 0) & (kind != 1))
 
 
-@function("CUMIPMT", "n i n i i n", "number", finite=True)
+@function("CUMIPMT", "n i n i i n", "number", finite=True, once=True)
 def cumipmt(rate, n, pv_, start, end, kind):
     bad = _cumulative_bad(rate, n, pv_, start, end, kind)
     return F.when(~bad, _interest(rate, n, pv_, start, end, kind)), [(bad, NUM)]
 
 
-@function("CUMPRINC", "n n n i i n", "number", finite=True)
+@function("CUMPRINC", "n n n i i n", "number", finite=True, once=True)
 def cumprinc(rate, n, pv_, start, end, kind):
     bad = _cumulative_bad(rate, n, pv_, start, end, kind)
     paid = _pmt(rate, n, pv_, F.lit(0.0), kind) * (end - start + 1)
     return F.when(~bad, paid - _interest(rate, n, pv_, start, end, kind)), [(bad, NUM)]
 
 
-@function("EFFECT", "n i", "number", finite=True)
+@function("EFFECT", "n i", "number", finite=True, once=True)
 def effect(nominal_, n):
     return F.when(n == 1, nominal_).otherwise(F.expm1(n * F.log1p(F.when(n >= 1, nominal_ / n)))), [((nominal_ <= 0) | (n < 1), NUM)]
 
 
-@function("NOMINAL", "n i", "number", finite=True)
+@function("NOMINAL", "n i", "number", finite=True, once=True)
 def nominal(effective, n):
     return F.when(n == 1, effective).otherwise(n * F.expm1(F.try_divide(F.log1p(F.when(effective > -1, effective)), n))), [((effective <= 0) | (n < 1), NUM)]
 
 
-@function("PDURATION", "n n n", "number", finite=True)
+@function("PDURATION", "n n n", "number", finite=True, once=True)
 def pduration(rate, pv_, fv_):
     bad = (rate <= 0) | (pv_ <= 0) | (fv_ <= 0)
     return F.when(~bad, (F.ln(fv_ / pv_)) / F.log1p(rate)), [(bad, NUM)]
 
 
-@function("RRI", "n n n", "number", finite=True)
+@function("RRI", "n n n", "number", finite=True, once=True)
 def rri(n, pv_, fv_):
     ratio = F.try_divide(fv_ - pv_, pv_)
     found = F.when(n == 1, ratio).otherwise(F.expm1(F.try_divide(F.log1p(F.when(ratio > -1, ratio).when(ratio == -1, None)), n)))
@@ -152,7 +152,7 @@ def _solve(value, guess: Column) -> Column:
     return F.element_at(F.transform(F.array(end), lambda s: F.when(s["done"] | (gap(s) <= TOLERANCE), s["b"])), 1)
 
 
-@function("RATE", "n n n n=0 n=0 n=0.1", "number", finite=True)
+@function("RATE", "n n n n=0 n=0 n=0.1", "number", finite=True, once=True)
 def rate(n, pay, pv_, fv_, kind, guess):
     found = _solve(lambda r: _balance(r, n, pay, pv_, fv_, kind), guess)
     found = F.when(F.abs(found) < 1e-14, 0.0).otherwise(found)

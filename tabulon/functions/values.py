@@ -136,6 +136,15 @@ def fold(v: Column) -> Column:
     return F.translate(v, _UPPER, _LOWER)
 
 
+def bind(columns: list[Column], body: Callable[..., Column]) -> Column:
+    """body(columns) with each column computed once a row, however often body names it.
+
+    Formulas that use an argument many times would otherwise repeat its whole expression.
+    """
+    held = F.array(F.struct(*[c.alias(f"_{k}") for k, c in enumerate(columns)]))
+    return F.element_at(F.transform(held, lambda t: body(*[t[f"_{k}"] for k in range(len(columns))])), 1)
+
+
 def trunc0(v: Column) -> Column:
     """Toward zero."""
     return F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("double")
@@ -163,13 +172,14 @@ def cast_to(v: Val, kind: str) -> Val:
 FUNCTIONS: dict[str, Callable[..., Val]] = {}
 
 
-def function(name: str, params: str, kind: str, *, finite: bool = False) -> Callable:
+def function(name: str, params: str, kind: str, *, finite: bool = False, once: bool = False) -> Callable:
     """Register a scalar worksheet function.
 
     params names each argument's coercion: n number, i number truncated, s text, b logical,
     v as it is; ``n=0.1`` gives the value of an argument left out. The body gets columns (Vals
     for v) and returns the result, or (result, [(condition, error code), ...]): errors of
-    arguments come first, then the first condition that holds.
+    arguments come first, then the first condition that holds. ``once`` binds the arguments
+    (which must be columns), for bodies that use them often.
     """
     specs = params.split()
 
@@ -181,14 +191,27 @@ def function(name: str, params: str, kind: str, *, finite: bool = False) -> Call
                 return error(VALUE)
             given = [*args, *[_default(p) for p in specs[len(args) :]]]
             vals = [_coerce(p[0], x) for p, x in zip(specs, given, strict=True)]
-            out = body(*[x if p[0] == "v" else x.v for p, x in zip(specs, vals, strict=True)])
-            value, checks = out if isinstance(out, tuple) else (out, [])
             err = first_error(*[x.e for x in vals])
+            if once:
+
+                def checked(*columns: Column) -> Column:
+                    out = body(*columns)
+                    value, checks = out if isinstance(out, tuple) else (out, [])
+                    own = first_error(*[F.when(condition, F.lit(code)) for condition, code in checks])
+                    own = F.lit(None).cast("string") if own is None else own
+                    return F.struct(F.when(own.isNull(), value).alias("v"), own.alias("e"))
+
+                made = bind([x.v for x in vals], checked)
+                value, checks, err = made["v"], [], first_error(err, made["e"])
+            else:
+                out = body(*[x if p[0] == "v" else x.v for p, x in zip(specs, vals, strict=True)])
+                value, checks = out if isinstance(out, tuple) else (out, [])
             for condition, code in checks:
                 err = first_error(err, F.when(condition, F.lit(code)))
             if finite:
-                inner = F.when(err.isNull(), value) if err is not None else value
-                err = first_error(err, F.when(F.isnan(inner) | (F.abs(inner) == math.inf), F.lit(NUM)))
+                value = value if err is None else F.when(err.isNull(), value)
+                bad = bind([value], lambda v: F.isnan(v) | (F.abs(v) == math.inf))
+                err = first_error(err, F.when(bad, F.lit(NUM)))
             return guarded(kind, value, err)
 
         call.__name__, call.__doc__ = name.lower().replace(".", "_"), body.__doc__
