@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.plans import scalar_queries
+from tabulon.plans import scalar_queries, table_queries
 
 
 def _sumifs_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +17,11 @@ def _sumifs_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"sumifs_lineitem": _sumifs_lineitem} | scalar_queries.queries()
+    return {"sumifs_lineitem": _sumifs_lineitem} | scalar_queries.queries() | table_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "sumifs_lineitem": "SELECT round(sum(l_extendedprice::decimal(18,4)), 2) AS total FROM lineitem "
         "WHERE l_returnflag = 'R' AND l_quantity >= 10"
-    } | scalar_queries.oracle_sql()
+    } | scalar_queries.oracle_sql() | table_queries.oracle_sql()
