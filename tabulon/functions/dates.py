@@ -67,7 +67,7 @@ def _days_in_month(y: Column, m: Column) -> Column:
 def date(y, m, d):
     year = F.when((y >= 0) & (y < 1900), y + 1900).otherwise(y)
     s = bind([first_of_month(year, m) + d - 1], lambda s: F.when((s >= 0) & (s <= LAST), s))
-    return s, [((y < 0) | (y > 9999) | s.isNull(), NUM)]
+    return s, [((y < 0) | (y > 9999), NUM), (None, NUM)]
 
 
 @function("TIME", "i i i", "number", once=True)
@@ -95,13 +95,13 @@ def day(s):
 def edate(s, months):
     """The same day so many months on, at most the month's last."""
     found = with_civil([s], lambda y, m, d: _inside(first_of_month(y, m + months) + F.least(d, _days_in_month(y, m + months)) - 1))
-    return found, [_outside(s), (found.isNull(), NUM)]
+    return found, [_outside(s), (None, NUM)]
 
 
 @function("EOMONTH", "n i", "number", once=True)
 def eomonth(s, months):
     found = with_civil([s], lambda y, m, d: _inside(first_of_month(y, m + months + 1) - 1))
-    return found, [_outside(s), (found.isNull(), NUM)]
+    return found, [_outside(s), (None, NUM)]
 
 
 @function("WEEKDAY", "n i=1", "number", once=True)
@@ -109,7 +109,7 @@ def weekday(s, kind):
     d = F.floor(s)
     start = F.when(kind == 1, 1).when(kind == 2, 2).when((kind >= 11) & (kind <= 17), kind - 9)
     found = F.when(kind == 3, _pmod(d - 2, 7)).otherwise(_pmod(d - start, 7) + 1)
-    return found.cast("double"), [_outside(s), (found.isNull(), NUM)]
+    return found.cast("double"), [_outside(s), (None, NUM)]
 
 
 def _iso_week(d: Column) -> Column:

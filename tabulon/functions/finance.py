@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabulon.functions.values import DIV0, FUNCTIONS, NUM, VALUE, Val, first_error, function, guarded, num
+from tabulon.functions.values import DIV0, FUNCTIONS, NUM, VALUE, Val, bind, first_error, function, guarded, num
 
 #: Iterations and tolerance of the rate solvers.
 STEPS, TOLERANCE = 20, 1e-7
@@ -37,7 +37,7 @@ def _fv(rate, n, pmt, pv, kind) -> Column:
 @function("PMT", "n n n n=0 n=0", "number", finite=True, once=True)
 def pmt(rate, n, pv, fv, kind):
     found = _pmt(rate, n, pv, fv, kind)
-    return found, [((rate == 0) & (n == 0), DIV0), ((rate <= -1) | _growth(rate, n)[2] | found.isNull(), NUM)]
+    return found, [((rate == 0) & (n == 0), DIV0), ((rate <= -1) | _growth(rate, n)[2] , NUM), (None, NUM)]
 
 
 @function("FV", "n n n n=0 n=0", "number", finite=True, once=True)
@@ -56,7 +56,7 @@ def pv(rate, n, pmt_, fv_, kind):
 def nper(rate, pmt_, pv_, fv_, kind):
     ratio = F.try_divide(-rate * (pv_ + fv_), pmt_ * _due(rate, kind) + pv_ * rate)
     found = F.when(rate == 0, -F.try_divide(pv_ + fv_, pmt_)).otherwise(F.try_divide(F.log1p(F.when(ratio > -1, ratio)), F.log1p(F.when(rate > -1, rate))))
-    return found, [((rate == 0) & (pmt_ == 0), DIV0), (found.isNull(), NUM)]
+    return found, [((rate == 0) & (pmt_ == 0), DIV0), (None, NUM)]
 
 
 def _ipmt(rate, per, n, pv_, fv_, kind) -> Column:
@@ -126,7 +126,7 @@ def rri(n, pv_, fv_):
     ratio = F.try_divide(fv_ - pv_, pv_)
     found = F.when(n == 1, ratio).otherwise(F.expm1(F.try_divide(F.log1p(F.when(ratio > -1, ratio).when(ratio == -1, None)), n)))
     found = F.when((ratio == -1) & (n > 0), -1.0).otherwise(found)
-    return found, [((n <= 0) | (pv_ == 0), NUM), (found.isNull(), NUM)]
+    return found, [((n <= 0) | (pv_ == 0), NUM), (None, NUM)]
 
 
 def _balance(r: Column, n, pay, pv_, fv_, kind) -> Column:
@@ -136,27 +136,31 @@ def _balance(r: Column, n, pay, pv_, fv_, kind) -> Column:
 
 
 def _solve(value, guess: Column) -> Column:
-    """A root of value(r) by secant steps, within STEPS; null if none is met."""
-    start = F.struct(guess.alias("a"), (guess * 1.01 + 1e-4).alias("b"), F.lit(False).alias("done"))
+    """A root of value(r) by secant steps, 3 * STEPS at most; null if none is met.
 
-    def step(s: Column, _: Column) -> Column:
-        fa, fb = value(s["a"]), value(s["b"])
-        new = s["b"] - F.try_divide(fb * (s["b"] - s["a"]), fb - fa)
-        new = F.when(new <= -1, (s["b"] - 1) / 2).otherwise(new)
-        stay = s["done"] | new.isNull() | F.isnan(new)
-        near = stay & s["done"] | (F.abs(new - s["b"]) <= 1e-13) | (fb == 0)
-        return F.struct(F.when(stay, s["a"]).otherwise(s["b"]).alias("a"), F.when(stay, s["b"]).otherwise(new).alias("b"), (s["done"] | F.coalesce(near, F.lit(False))).alias("done"))
+    Each step evaluates value once, and none once the root is found.
+    """
+    start = F.struct(guess.alias("a"), (guess * 1.01 + 1e-4).alias("b"), value(guess).alias("fa"), F.lit(False).alias("done"))
 
+    def move(s: Column, fb: Column) -> Column:
+        def settle(new: Column) -> Column:
+            stuck = new.isNull() | F.isnan(new)
+            near = F.coalesce((F.abs(new - s["b"]) <= 1e-13) | (fb == 0), F.lit(False))
+            return F.struct(s["b"].alias("a"), F.when(stuck, s["b"]).otherwise(new).alias("b"), fb.alias("fa"), (stuck & (fb == 0) | near).alias("done"))
+
+        new = s["b"] - F.try_divide(fb * (s["b"] - s["a"]), fb - s["fa"])
+        return bind([F.when(new <= -1, (s["b"] - 1) / 2).otherwise(new)], settle)
+
+    step = lambda s, _: F.when(s["done"], s).otherwise(bind([value(s["b"])], lambda fb: move(s, fb)))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(3 * STEPS)), start, step)
-    gap = lambda s: F.abs(s["b"] - s["a"])
-    return F.element_at(F.transform(F.array(end), lambda s: F.when(s["done"] | (gap(s) <= TOLERANCE), s["b"])), 1)
+    return bind([end], lambda s: F.when(s["done"] | (F.abs(s["b"] - s["a"]) <= TOLERANCE), s["b"]))
 
 
 @function("RATE", "n n n n=0 n=0 n=0.1", "number", finite=True, once=True)
 def rate(n, pay, pv_, fv_, kind, guess):
     found = _solve(lambda r: _balance(r, n, pay, pv_, fv_, kind), guess)
-    found = F.when(F.abs(found) < 1e-14, 0.0).otherwise(found)
-    return found, [((n <= 0) | (guess <= -1), NUM), (found.isNull(), NUM)]
+    found = bind([found], lambda r: F.when(F.abs(r) < 1e-14, 0.0).otherwise(r))
+    return found, [((n <= 0) | (guess <= -1), NUM), (None, NUM)]
 
 
 def npv_of(rate_: Column, flows: Column) -> Column:

@@ -179,7 +179,8 @@ def function(name: str, params: str, kind: str, *, finite: bool = False, once: b
     v as it is; ``n=0.1`` gives the value of an argument left out. The body gets columns (Vals
     for v) and returns the result, or (result, [(condition, error code), ...]): errors of
     arguments come first, then the first condition that holds. ``once`` binds the arguments
-    (which must be columns), for bodies that use them often.
+    (which must be columns), for bodies that use them often; a condition of None then stands
+    for a null result, which is made once.
     """
     specs = params.split()
 
@@ -197,12 +198,20 @@ def function(name: str, params: str, kind: str, *, finite: bool = False, once: b
                 def checked(*columns: Column) -> Column:
                     out = body(*columns)
                     value, checks = out if isinstance(out, tuple) else (out, [])
-                    own = first_error(*[F.when(condition, F.lit(code)) for condition, code in checks])
-                    own = F.lit(None).cast("string") if own is None else own
-                    return F.struct(F.when(own.isNull(), value).alias("v"), own.alias("e"))
+                    before = first_error(*[F.when(condition, F.lit(code)) for condition, code in checks if condition is not None])
+                    empty = [code for condition, code in checks if condition is None]
+
+                    def judged(v: Column) -> Column:
+                        after = [F.when(v.isNull(), F.lit(code)) for code in empty]
+                        after += [F.when(F.isnan(v) | (F.abs(v) == math.inf), F.lit(NUM))] if finite else []
+                        own = first_error(before, *after)
+                        own = F.lit(None).cast("string") if own is None else own
+                        return F.struct(F.when(own.isNull(), v).alias("v"), own.alias("e"))
+
+                    return bind([value if before is None else F.when(before.isNull(), value)], judged)
 
                 made = bind([x.v for x in vals], checked)
-                value, checks, err = made["v"], [], first_error(err, made["e"])
+                return guarded(kind, made["v"], first_error(err, made["e"]))
             else:
                 out = body(*[x if p[0] == "v" else x.v for p, x in zip(specs, vals, strict=True)])
                 value, checks = out if isinstance(out, tuple) else (out, [])
