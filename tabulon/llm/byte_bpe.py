@@ -131,24 +131,50 @@ class _Block:
                 some = self.docs[k : k + TEXTS_TOGETHER]
                 data = number[np.concatenate([d for _, d in some])]
                 # a null id is a 0 with its size turned to ~size: a list with nulls would lose digits on the way to pandas
-                yield _batch(self.name, _TEXTS, [i or 0 for i, _ in some], [~len(d) if i is None else len(d) for i, d in some], _planes(data))
+                yield _batch(self.name, _TEXTS, [i or 0 for i, _ in some], [~len(d) if i is None else len(d) for i, d in some], _squeeze(data))
             words = [words[i].encode() for i in order.tolist()]
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), dtype="<u4", count=len(words))
-        yield _batch(self.name, _PLACES, [], [], _planes(bucket))
+        yield _batch(self.name, _PLACES, [], [], _squeeze(bucket))
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         for part in np.split(order, cuts) if words else []:
             yield _batch(self.name, int(bucket[part[0]]), [], [], _pack([words[i] for i in part.tolist()]))
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers, compressed with their bytes of like weight together."""
-    return zstandard.ZstdCompressor(level=6).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+#: Numbers whose bits are packed at once, which bounds the memory that it takes.
+BITS_TOGETHER = 65_536
+_WIDTH = np.arange(32, dtype=np.uint32)
+
+
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Numbers as their bit lengths, compressed, and their lower bits, packed.
+
+    Words numbered by falling frequency are about evenly spread between powers of two, so
+    this comes close to the entropy of the sequence.
+    """
+    n = numbers.astype(np.uint32) + np.uint32(1)
+    length = np.frexp(n.astype(np.float64))[1].astype(np.uint8)  # n has so many bits, the first always set
+    head = zstandard.ZstdCompressor(level=3).compress(length.tobytes())
+    parts = [len(head).to_bytes(4, "little"), head]
+    for k in range(0, len(n), BITS_TOGETHER):
+        some, size = n[k : k + BITS_TOGETHER, None], length[k : k + BITS_TOGETHER, None]
+        at = _WIDTH[None, : int(size.max()) - 1]
+        parts.append(np.packbits((some >> at & np.uint32(1)).astype(bool)[at < size - 1]).tobytes())
+    return b"".join(parts)
 
 
 def _numbers(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    end = 4 + int.from_bytes(data[:4], "little")
+    length = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:end]), dtype=np.uint8).astype(np.int64)
+    out = np.zeros(len(length), dtype=np.uint32)
+    for k in range(0, len(length), BITS_TOGETHER):
+        size = length[k : k + BITS_TOGETHER, None]
+        at = _WIDTH[None, : int(size.max()) - 1]
+        held, count = np.zeros((len(size), at.shape[1]), dtype=np.uint32), int((size - 1).sum())
+        held[at < size - 1] = np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=end, count=-(-count // 8)), count=count)
+        end += -(-count // 8)
+        out[k : k + BITS_TOGETHER] = (held << at).sum(axis=1, dtype=np.uint32) | np.uint32(1) << (size[:, 0] - 1).astype(np.uint32)
+    return out - np.uint32(1)
 
 
 def _batch(block: str, bucket: int, doc_ids: list, sizes: list[int], payload: bytes) -> pa.RecordBatch:
