@@ -31,6 +31,8 @@ CONTAINED = 80
 WINDOWS = (16, 4, 1)
 BANDS, ROWS = 8, 2
 CACHE_WORDS = 500_000
+#: Texts that are hashed as one.
+TOGETHER = 64
 
 ORACLE_SQL = None
 
@@ -109,27 +111,41 @@ class Templates:
                 for v in values.tolist():
                     owners.setdefault(v, set()).add(at)
 
-    def candidates(self, code: np.ndarray) -> dict[int, list[int]]:
-        """Template to the windows' places in the row that it may be at."""
-        found: dict[int, set[int]] = {}
+    def candidates(self, codes: list[np.ndarray]) -> list[dict[int, list[int]]]:
+        """For each row of shingles, template to the windows' places that it may be at.
+
+        All rows are hashed as one; windows that would cross from one into the next are left out.
+        """
+        sizes = np.array([len(c) for c in codes], dtype=np.int64)
+        code = np.concatenate(codes) if codes else np.empty(0, dtype=np.uint64)
+        starts = np.cumsum(sizes) - sizes
+        start, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+        at_all = np.arange(len(code))
+        found: list[dict[int, set[int]]] = [{} for _ in codes]
         for window, table in self.tables.items():
             if len(code) < window:
                 continue
             step = max(1, window // 4)
-            # the last window is read too, wherever it starts
-            places = np.unique(np.append(np.arange(0, len(code) - window + 1, step), len(code) - window))
+            # the last window of a row is read too, wherever it starts
+            places = np.flatnonzero(((at_all - start) % step == 0) & (at_all + window <= end) | (at_all + window == end) & (at_all >= start))
             for (marks, owners), values in zip(table, window_bands(code, window), strict=True):
                 values = values[places]
                 for k in np.flatnonzero(marks[values & np.uint64(0xFFFF)]).tolist():
-                    for at in owners.get(int(values[k]), ()):
-                        found.setdefault(at, set()).add(int(places[k]))
-        return {at: sorted(p) for at, p in found.items()}
-
-    def scan(self, text: bytes | None) -> list[tuple[str, int, int, float]]:
-        """License, span in words, and contained share of every match."""
-        code = shingle_row(text)
+                    if owned := owners.get(int(values[k])):
+                        place = int(places[k])
+                        row = int(np.searchsorted(starts, place, side="right")) - 1
+                        for at in owned:
+                            found[row].setdefault(at, set()).add(place - int(starts[row]))
+        return [{at: sorted(p) for at, p in one.items()} for one in found]
+
+    def scan(self, texts: list[bytes | None]) -> list[list[tuple[str, int, int, float]]]:
+        """License, span in words, and contained share of every match of each text."""
+        codes = [shingle_row(t) for t in texts]
+        return [self._matches(code, places) for code, places in zip(codes, self.candidates(codes), strict=True)]
+
+    def _matches(self, code: np.ndarray, candidates: dict[int, list[int]]) -> list[tuple[str, int, int, float]]:
         out = []
-        for at, places in self.candidates(code).items():
+        for at, places in candidates.items():
             name, wanted = self.rows[at]
             end = -1
             for place in places:
@@ -151,7 +167,11 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = shared.value.scan
         for batch in batches:
-            rows = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True) for m in scan(t)]
+            rows = []
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            for k in range(0, len(ids), TOGETHER):
+                for doc_id, matches in zip(ids[k : k + TOGETHER], scan(texts[k : k + TOGETHER]), strict=True):
+                    rows += [(doc_id, *m) for m in matches]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "license", "start_word", "end_word", "contained"])
