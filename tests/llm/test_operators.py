@@ -122,6 +122,26 @@ def test_exchange_splits_alternating_items():
     assert len(set(of[:3])) == 1 and len(set(of[3:])) == 1 and of[0] != of[3]
 
 
+def test_class_lm_words_beyond_the_core(spark):
+    # two kinds of words that share their ending: one stands after "left", one after "right"
+    rng = random.Random(5)
+    kinds = [[f"{k}{n}same" for n in range(700)] for k in "ab"]
+    texts = [" ".join(f"left {rng.choice(kinds[0])} right {rng.choice(kinds[1])}" for _ in range(50)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = class_lm.choose_items(class_lm.word_counts(docs))
+    model = class_lm.fit(docs, items, classes=4)
+    of = {w: int(model.of[items.of(w.encode())]) for k in kinds for w in k}
+    assert len(of) > class_lm.WORD_ITEMS + class_lm.ENDING_ITEMS
+    a, b = ({of[w] for w in k} for k in kinds)
+    assert not a & b
+    count = Counter(w for t in texts for w in t.split())
+    # a word's probability is its own share of its class
+    one, other = sorted(kinds[0], key=lambda w: count[w])[::699]
+    if of[one] == of[other]:
+        emit = [float(model.emit[items.of(w.encode())]) for w in (one, other)]
+        assert emit[1] - emit[0] == pytest.approx(math.log10((count[other] + 0.5) / (count[one] + 0.5)))
+
+
 def test_code_search(spark):
     rng = np.random.default_rng(3)
     vectors = [(k, rng.normal(size=64).tolist(), 1) for k in range(300)] + [(k, [1.0] * 64, 1) for k in range(300, 340)] + [(400, None, 1), (None, [1.0] * 64, 1), (401, [], 1)]
