@@ -9,6 +9,9 @@ from tabulon.functions.values import DIV0, FUNCTIONS, NUM, VALUE, Val, bind, fir
 
 #: Iterations and tolerance of the rate solvers.
 STEPS, TOLERANCE = 20, 1e-7
+#: Rates between which XIRR looks for a change of sign, and steps of its bisection.
+PROBES = (-0.999999, -0.99, -0.5, -0.1, 0.0, 0.1, 0.25, 0.5, 1.0, 2.0, 10.0, 100.0, 1e3, 1e6, 1e12)
+HALVINGS = 100
 
 
 def _growth(rate: Column, n: Column) -> tuple[Column, Column, Column]:
@@ -146,7 +149,8 @@ def _solve(value, guess: Column) -> Column:
         def settle(new: Column) -> Column:
             stuck = new.isNull() | F.isnan(new)
             near = F.coalesce((F.abs(new - s["b"]) <= 1e-13) | (fb == 0), F.lit(False))
-            return F.struct(s["b"].alias("a"), F.when(stuck, s["b"]).otherwise(new).alias("b"), fb.alias("fa"), (stuck & (fb == 0) | near).alias("done"))
+            # equal worths end no search: the last two points stay apart
+            return F.struct(F.when(stuck, s["a"]).otherwise(s["b"]).alias("a"), F.when(stuck, s["b"]).otherwise(new).alias("b"), F.when(stuck, s["fa"]).otherwise(fb).alias("fa"), (stuck & (fb == 0) | near).alias("done"))
 
         new = s["b"] - F.try_divide(fb * (s["b"] - s["a"]), fb - s["fa"])
         return bind([F.when(new <= -1, (s["b"] - 1) / 2).otherwise(new)], settle)
@@ -156,6 +160,29 @@ def _solve(value, guess: Column) -> Column:
     return bind([end], lambda s: F.when(s["done"] | (F.abs(s["b"] - s["a"]) <= TOLERANCE), s["b"]))
 
 
+def _bisect(value, guess: Column) -> Column:
+    """A root of value(r) between the first two neighbours of PROBES and the guess that differ in sign; null without such."""
+    probes = F.array_sort(F.array_distinct(F.array(*[F.lit(p) for p in PROBES], guess)))
+    worth = F.transform(probes, lambda r: F.struct(r.alias("r"), value(r).alias("f")))
+    finite = F.filter(worth, lambda p: (p["r"] > -1) & (F.abs(p["f"]) < float("inf")))
+
+    def brackets(seen: Column) -> Column:
+        pairs = F.zip_with(F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0))), F.slice(seen, 2, F.size(seen)), lambda x, y: F.struct(x["r"].alias("lo"), y["r"].alias("hi"), F.signum(x["f"]).alias("sign"), F.signum(y["f"]).alias("next")))
+        return F.get(F.filter(pairs, lambda p: p["sign"] * p["next"] <= 0), F.lit(0))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = (s["lo"] + s["hi"]) / 2
+
+        def side(sign: Column) -> Column:
+            low = s["sign"] * sign > 0
+            return F.struct(F.when(low, middle).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(middle).alias("hi"), s["sign"].alias("sign"))
+
+        return F.when(s["hi"] - s["lo"] <= 1e-13, s).otherwise(bind([F.signum(value(middle))], side))
+
+    start = bind([finite], lambda seen: bind([brackets(seen)], lambda b: F.struct(b["lo"].alias("lo"), b["hi"].alias("hi"), b["sign"].alias("sign"))))
+    return bind([F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve)], lambda s: (s["lo"] + s["hi"]) / 2)
+
+
 @function("RATE", "n n n n=0 n=0 n=0.1", "number", finite=True, once=True)
 def rate(n, pay, pv_, fv_, kind, guess):
     found = _solve(lambda r: _balance(r, n, pay, pv_, fv_, kind), guess)
@@ -213,7 +240,8 @@ def xnpv(rate_: object, flows: Column) -> Val:
 
 def xirr(flows: Column, guess: object = 0.1) -> Val:
     mixed = F.exists(flows, lambda p: p["value"] > 0) & F.exists(flows, lambda p: p["value"] < 0)
-    found = F.when(mixed, _solve(lambda r: _dated(r, flows), num(guess).v))
+    worth, first = lambda r: _dated(r, flows), num(guess).v
+    found = F.when(mixed, F.coalesce(_solve(worth, first), F.when(first > -1, _bisect(worth, first))))
     return guarded("number", found, F.when(found.isNull(), F.lit(NUM)))
 
 

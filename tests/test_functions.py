@@ -1,6 +1,7 @@
 """Worksheet functions on values whose results are fixed by their definitions."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,25 @@ def test_reshaping(spark):
     assert [r["c2"] for r in reshape.wrap_rows(grid.select("ord", F.col("n").alias("value")), 2, -1.0).orderBy("ord").collect()] == [-1.0, 2.0]
 
 
+def test_cash_flow_rates_against_bisection(spark):
+    def worth(rate, dated):
+        return sum(v / (1 + rate) ** t for v, t in dated)
+
+    def bisection(dated):
+        low, high = -0.999, 1e4
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if worth(middle, dated) > 0 else (low, middle)
+        return (low + high) / 2
+
+    rng = random.Random(7)
+    rows = [[(-386697.56, 0.0), (73919.63, 257.0), (80726.25, 1814.0)]]  # the secant cycles on this one
+    rows += [[(-rng.uniform(50, 150), 0.0), *[(rng.uniform(20, 90), float(d)) for d in sorted(rng.sample(range(1, 2500), 3))]] for _ in range(20)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "id int, flows array<struct<value: double, date: double>>")
+    got = frame.select("id", M.xirr(F.col("flows")).v.alias("xirr"), M.irr(F.col("flows.value")).v.alias("irr"))
+    for r in got.collect():
+        flows = rows[r["id"]]
+        assert r["xirr"] == pytest.approx(bisection([(v, d / 365) for v, d in flows]), abs=1e-7)
+        assert r["irr"] == pytest.approx(bisection([(v, k) for k, (v, _) in enumerate(flows)]), abs=1e-7)
+    same_day = spark.createDataFrame([([(-1.0, 0.0), (2.0, 0.0)],)], "flows array<struct<value: double, date: double>>")
+    assert same_day.select(M.xirr(F.col("flows")).v.alias("v")).first()["v"] is None
