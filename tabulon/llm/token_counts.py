@@ -32,13 +32,48 @@ LIMIT = 2048
 #: Words in the broadcast table at most, and the longest word in it, in bytes: 2 MB at most.
 FREQUENT = 16_384
 FREQUENT_BYTES = 64
-#: Words in a worker's cache before it starts anew, and in a task's count before rare ones go.
-CACHE_WORDS = 400_000
+#: Words in each of the two halves of a worker's cache, and in a task's count before rare ones go.
+CACHE_WORDS = 250_000
 COUNTED_WORDS = 1_000_000
 
 ORACLE_SQL = None
 
-_CACHES: dict[str, tuple[object, dict[bytes, int]]] = {}
+
+
+class _Lengths(dict):
+    """Tier two: token lengths by word, kept from task to task; a word that misses is encoded.
+
+    Lookups of known words stay inside the dict type. Words live in two halves: a full new half
+    becomes the old one, whose words are moved on when they are met again and go when the next
+    half is full. So memory is bounded, and words in use are not encoded anew.
+    """
+
+    def __init__(self, tokenizer: str, half: int = CACHE_WORDS) -> None:
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.encode, self.half = Tokenizer.from_file(tokenizer).encode, half
+        self.common: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
+
+    def __missing__(self, word: bytes) -> int:
+        n = self.common.get(word)
+        if n is None:
+            n = self.old.get(word)
+        if n is None:
+            n = len(self.encode(word.decode(), add_special_tokens=False))
+        if len(word) <= FREQUENT_BYTES:
+            self[word] = n
+        return n
+
+    def turn(self) -> None:
+        """Start a new half where this one is full."""
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
+
+
+_CACHES: dict[str, _Lengths] = {}
 
 
 def frequent_words(docs: DataFrame, frequent: int = FREQUENT) -> list[str]:
@@ -81,27 +116,15 @@ def count_tokens(docs: DataFrame, *, tokenizer: str, frequent: Broadcast, limit:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _CACHES:
-            from tokenizers import Tokenizer
-
-            _CACHES[tokenizer] = (Tokenizer.from_file(tokenizer), {})
-        model, cache = _CACHES[tokenizer]
-        common = frequent.value
+            _CACHES[tokenizer] = _Lengths(tokenizer)
+        lengths = _CACHES[tokenizer]
+        lengths.common, of = frequent.value, lengths.__getitem__
         for batch in batches:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            split = [t.split() for t in texts]
-            missing = [w for w in set().union(*split) if w not in common and w not in cache] if split else []
-            fresh = dict(zip(missing, _token_lengths(model, [w.decode() for w in missing]), strict=True))
-            cache.update((w, n) for w, n in fresh.items() if len(w) <= FREQUENT_BYTES)
-
-            def length(w: bytes, fresh: dict[bytes, int] = fresh) -> int:
-                n = common.get(w)
-                if n is None:
-                    n = cache.get(w)
-                return fresh[w] if n is None else n
-
-            tokens = [sum(map(length, words)) for words in split]
+            tokens = []
+            for t in texts:
+                tokens.append(sum(map(of, t.split())))
+                lengths.turn()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
