@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import materialise, small_batches, table
@@ -37,12 +37,14 @@ from tabulon.llm.common import materialise, small_batches, table
 WORDS = 5
 SIMILARITY = 80
 BANDS, ROWS = 42, 6
-#: Bits, in words of 64, of the bitmap that bounds an intersection.
+#: Words of 64 bits, at least, of the bitmap that bounds an intersection; a larger set has four bits a shingle or more.
 BITMAP_WORDS = 16
 #: Random orders of the slots; an element picks one, and rotates it.
 ORDERS = 1024
 #: Texts whose signatures are made at once, and elements in them at most, unless one text has more.
 TEXTS_AT_ONCE, ELEMENTS_AT_ONCE = 2048, 1_000_000
+#: Parts that the rows of one set are dealt to, so that many copies of a text do not meet in one task.
+SALTS = 256
 #: Word hashes that a worker keeps.
 CACHE_WORDS = 500_000
 
@@ -161,13 +163,27 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def bitmap(items: np.ndarray) -> np.ndarray:
-    """Words in which every item sets a bit."""
-    out = np.zeros(BITMAP_WORDS, dtype=np.uint64)
-    bit = items % np.uint64(64 * BITMAP_WORDS)
+    """Words in which every item sets a bit: a power of two of them, by the size of the set."""
+    words = max(BITMAP_WORDS, 1 << max(len(items) // 16 - 1, 0).bit_length())
+    out = np.zeros(words, dtype=np.uint64)
+    bit = items % np.uint64(64 * words)
     np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
     return out
 
 
+def differing(x: Column, y: Column) -> Column:
+    """Bits in which two bitmaps differ, the larger folded once to the other's size; null if that is not enough."""
+    half = lambda b: F.size(b).cast("int") / 2
+
+    def folded(b: Column) -> Column:
+        n = half(b).cast("int")
+        return F.zip_with(F.slice(b, F.lit(1), n), F.slice(b, n + 1, n), lambda p, q: p.bitwiseOR(q))
+
+    x, y = F.when(F.size(x) == 2 * F.size(y), folded(x)).otherwise(x), F.when(F.size(y) == 2 * F.size(x), folded(y)).otherwise(y)
+    bits = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, n: a + n)
+    return F.when(F.size(x) == F.size(y), bits)
+
+
 def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The id, the sorted shingle hashes and their bitmap."""
 
@@ -175,8 +191,9 @@ def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, dtype=np.int64)
-            maps = np.concatenate([bitmap(s) for s in sets]).view(np.int64) if sets else np.empty(0, dtype=np.int64)
-            columns = [batch.column(0), _lists(values, [len(s) for s in sets]), _lists(maps, [BITMAP_WORDS] * len(sets))]
+            held = [bitmap(s) for s in sets]
+            maps = np.concatenate(held).view(np.int64) if sets else np.empty(0, dtype=np.int64)
+            columns = [batch.column(0), _lists(values, [len(s) for s in sets]), _lists(maps, [len(m) for m in held])]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "items", "bits"])
 
     small_batches(docs.sparkSession)
@@ -243,18 +260,29 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """The rows (key, id) whose key another id has too.
+
+    Least and greatest ids are summed up before the shuffle, and the rows come back by a join, which
+    can split a key that many rows have; a window would send all of them to one task.
+    """
+    ends = rows.groupBy(key).agg(F.min("id").alias("_least"), F.max("id").alias("_most")).where("_least < _most").select(key)
+    return rows.join(ends, key, "left_semi")
+
+
 def _buckets(sketches: DataFrame) -> DataFrame:
     """(band, id) of the classes that share a band with another class."""
-    rows = sketches.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"))
-    over = Window.partitionBy("band")
-    return rows.withColumn("_least", F.min("id").over(over)).withColumn("_most", F.max("id").over(over)).where("_least < _most").select("band", "id")
+    return _shared(sketches.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id")), "band")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    sketches = materialise(sketch(docs, words), "near-sketches")
-    classes = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    heads = sketches.join(classes, "digest").where("doc_id = rep").select("doc_id", "bands").distinct()
+    sketches = materialise(sketch(docs, words), "near-sketches").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("short"))
+    # equal sets are one class: its least id and its bands come from sums over salted parts
+    part = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "salt").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    parts = materialise(part, "near-classes")
+    classes = parts.groupBy("digest").agg(F.min("rep").alias("rep"), F.collect_list("salt").alias("salts"))
+    heads = parts.select("digest", "rep", "bands").groupBy("digest").agg(F.min("rep").alias("doc_id"), F.first("bands").alias("bands")).select("doc_id", "bands").distinct()
     buckets = materialise(_buckets(heads), "near-buckets")
     members = buckets.select("id").distinct()
     texts = docs.join(members, docs["doc_id"] == members["id"], "left_semi").select("doc_id", "text")
@@ -262,26 +290,24 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: int = SI
 
     # s: a class's shingles that another candidate has; 32 bits of a hash can only raise it
     items = sets.select("id", F.explode("items").alias("item")).select("id", F.shiftright("item", 32).cast("int").alias("item"))
-    over = Window.partitionBy("item")
-    met = items.withColumn("_least", F.min("id").over(over)).withColumn("_most", F.max("id").over(over)).where("_least < _most")
+    met = _shared(items, "item")
     shared = met.groupBy("id").agg(F.count("*").alias("s"))
     facts = sets.groupBy("id").agg(F.max(F.size("items")).alias("n"), F.min(F.size("items")).alias("least")).join(shared, "id", "left")
     # the bitmap of an id with several texts is unknown, and bounds nothing
     single = sets.groupBy("id").agg(F.count("*").alias("_c"), F.first("bits").alias("bits")).select("id", F.when(F.col("_c") == 1, F.col("bits")).alias("bits"))
     sized = materialise(buckets.join(facts.select("id", "n", "least", F.coalesce("s", F.lit(0)).alias("s")), "id"), "near-sized")
 
-    hub = F.max(F.struct(F.col("s") / F.col("n"), -F.col("id"), F.col("id").alias("id"))).over(Window.partitionBy("band"))["id"]
-    stars = sized.select(F.col("id").alias("a"), hub.alias("b")).where("a != b").distinct()
+    hubs = sized.groupBy("band").agg(F.max(F.struct(F.col("s") / F.col("n"), -F.col("id"), F.col("id").alias("id")))["id"].alias("b"))
+    stars = sized.join(hubs, "band").select(F.col("id").alias("a"), "b").where("a != b").distinct()
     links = materialise(verify(stars, sets, similarity), "near-links")
     found = components(links)
 
     grouped = sized.join(found, F.col("id") == F.col("node"), "left").select("band", "id", "n", "least", "s", F.coalesce("root", "id").alias("root"))
-    over = Window.partitionBy("band")
-    still = grouped.withColumn("_least", F.min("root").over(over)).withColumn("_most", F.max("root").over(over)).withColumn("_small", F.min("least").over(over))
+    ends = grouped.groupBy("band").agg(F.min("root").alias("_least"), F.max("root").alias("_most"), F.min("least").alias("_small")).where("_least < _most")
     reach = lambda small, s, n: (100 + similarity) * s >= similarity * (n + small)
-    still = materialise(still.where("_least < _most").where(reach(F.col("_small"), F.col("s"), F.col("least"))).join(single, "id").select("band", "id", "least", "s", "root", "bits"), "near-open")
+    still = materialise(grouped.join(ends.select("band", "_small"), "band").where(reach(F.col("_small"), F.col("s"), F.col("least"))).join(single, "id").select("band", "id", "least", "s", "root", "bits"), "near-open")
     x, y = still.alias("x"), still.alias("y")
-    differ = sum((F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(BITMAP_WORDS)), F.lit(0))
+    differ = differing(F.col("x.bits"), F.col("y.bits"))
     most = F.least("x.s", "y.s", F.coalesce(F.floor((F.col("x.least") + F.col("y.least") - differ) / 2), F.lit(1 << 40)))
     could = reach(F.col("y.least"), most, F.col("x.least"))
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & could)
@@ -290,8 +316,8 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: int = SI
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("_digest"), F.coalesce("root", "rep").alias("_component"))
-    whole = sketches.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("_digest"), "left")
+    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.explode("salts").alias("salt"), F.coalesce("root", "rep").alias("_component"))
+    whole = sketches.select("doc_id", "n", "digest", "salt").join(named, ["digest", "salt"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("_component"))).otherwise(F.col("doc_id"))
     return whole.select(
         "doc_id",
