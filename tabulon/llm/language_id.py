@@ -11,7 +11,8 @@ n-grams are those of the words padded by one boundary on each side. An n-gram is
 
 Profiles count every n-gram of every training text; only partial sums of distinct n-grams
 meet in a shuffle, and the profiles (languages times PROFILE rows) are all that the driver
-gets. Languages beyond MAX_LANGUAGES by number of documents are an error, not a cut.
+gets. The model learns at most ``languages`` labels, those with the most n-grams, so that the
+table of profiles that is broadcast is bounded whatever the label column holds.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every
 text when nothing could be learned; rows are judged one by one whatever their ids; training
@@ -30,7 +31,10 @@ from pyspark.sql import functions as F
 from tabulon.llm.common import crc_bucket, small_batches, table
 
 PROFILE = 400
+#: Labels that are learned at most.
 MAX_LANGUAGES = 1000
+#: How far from all profiles a text may be where no distances were measured.
+FARTHEST = 0.98
 UNDETERMINED = "und"
 
 ORACLE_SQL = None
@@ -75,7 +79,7 @@ def ranked(grams: np.ndarray, size: int) -> np.ndarray:
     return values[np.lexsort((values, -counts))][:size]
 
 
-def learn(docs: DataFrame, *, lang: str = "lang", size: int = PROFILE) -> dict[str, np.ndarray]:
+def learn(docs: DataFrame, *, lang: str = "lang", size: int = PROFILE, languages: int = MAX_LANGUAGES) -> dict[str, np.ndarray]:
     """Profiles of the languages that the column names, from every given text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,14 +112,13 @@ def learn(docs: DataFrame, *, lang: str = "lang", size: int = PROFILE) -> dict[s
     small_batches(docs.sparkSession)
     given = docs.where(F.col("text").isNotNull() & F.col(lang).isNotNull()).select("text", F.col(lang).alias("lang"))
     counts = given.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    rows = counts.withColumn("place", place).where(F.col("place") <= size).select("lang", "gram", "place").limit(MAX_LANGUAGES * size + 1).collect()
-    if len(rows) > MAX_LANGUAGES * size:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    of_lang = Window.partitionBy("lang")
+    placed = counts.withColumn("place", F.row_number().over(of_lang.orderBy(F.desc("n"), "gram"))).withColumn("total", F.sum("n").over(of_lang))
+    rows = placed.where(F.col("place") <= size).orderBy(F.desc("total"), "lang", "place").limit(languages * size).collect()
     out: dict[str, list[int]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["place"])):
+    for r in rows:
         out.setdefault(r["lang"], []).append(r["gram"])
-    return {name: np.asarray(grams, dtype=np.int64) for name, grams in out.items()}
+    return {name: np.asarray(out[name], dtype=np.int64) for name in sorted(list(out)[:languages])}
 
 
 class Profiles:
@@ -160,6 +163,17 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], *keep: str) -> Da
     return given.mapInArrow(run, schema)
 
 
+def reach(found: DataFrame, *, lang: str = "lang") -> float:
+    """How far from its profile a text of a learned language may be, from measured distances.
+
+    Of each language's texts that are named as labelled, the spread from the median to the 99th
+    percentile is added once more to that percentile, and 0.05 to the largest of these sums.
+    """
+    own = found.where(F.col(lang) == F.col("lang_pred")).groupBy("lang_pred").agg(F.percentile_approx("distance", [0.5, 0.99], 10_000).alias("p"))
+    far = own.agg(F.max(2 * F.col("p")[1] - F.col("p")[0])).first()[0]
+    return FARTHEST if far is None else min(FARTHEST, far + 0.05)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(crc_bucket(doc_id, 3) == 1, F.lit(False))
 
