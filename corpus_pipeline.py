@@ -2,6 +2,11 @@
 
 Each stage works on all rows that the stage before kept; every stage but the last returns the
 columns of ``documents``.
+
+Defined results: null and empty texts have too few words and go in the first stage; very long
+texts are judged, compared and packed whole; a row with a null id is judged by its text alone;
+an empty table gives an empty result, and so do tables without labels; columns beyond those of
+``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -15,9 +20,6 @@ from tabulon.llm.common import materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: A document whose nearest profile is as far as this has next to none of its n-grams.
-FOREIGN = 0.98
-
 #: The stages learn models and encode tokens, which SQL can't express.
 ORACLE_SQL = None
 
@@ -29,21 +31,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those far from every language's profile."""
+    """Drop documents without a letter, and those farther from every language's profile than
+    the documents of the learned languages are."""
     profiles = language_id.learn(docs)
-    found = language_id.identify(docs, profiles, *COLUMNS)
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("distance") < FOREIGN)).select(*COLUMNS)
+    found = materialise(language_id.identify(docs, profiles, *COLUMNS), "pipeline-languages")
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("distance") <= language_id.reach(found))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of each group of near duplicates.
 
-    Of rows that share an id one stays, the first in the order of its other columns.
+    Rows that share an id are one document: all that differ stay with it, and of equal rows one.
+    Rows without an id are in no group and stay.
     """
-    kept = near_dup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("_row"))
-    unnamed = docs.where("doc_id IS NULL").select(*COLUMNS)
-    return chosen.select("doc_id", *[F.col(f"_row.{c}").alias(c) for c in COLUMNS[1:]]).unionByName(unnamed)
+    judged = near_dup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL")
+    kept = judged.groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    stay = docs.select(*COLUMNS).join(kept, "doc_id")
+    single = stay.where("_rows = 1").select(*COLUMNS)
+    several = stay.where("_rows > 1").select(*COLUMNS).dropDuplicates()
+    return single.unionByName(several).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
