@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabulon.functions.values import FUNCTIONS, NUM, VALUE, Val, bind, error, first_error, function, guarded, num, trunc0
+from tabulon.functions.values import FUNCTIONS, NUM, VALUE, Val, bind, down, error, first_error, function, guarded, num, trunc0
 
 LAST = 2958465
 #: The 1904 system starts this many days later.
@@ -14,14 +16,14 @@ _ORIGIN = "1899-12-30"
 
 
 def _pmod(a: Column, n: int) -> Column:
-    return a - n * F.floor(a / n)
+    return a - n * down(a / n)
 
 
 def first_of_month(y: Column, m: Column) -> Column:
     """Serial of the first day of a month; m may be out of 1 to 12."""
 
     def days(month: Column) -> Column:
-        year = F.floor(month / 12)
+        year = down(month / 12)
         date = F.make_date(F.least(F.greatest(year, F.lit(1899)), F.lit(9999)).cast("int"), (_pmod(month, 12) + 1).cast("int"), F.lit(1))
         # beyond the years that dates have, a year more or less is out of range all the same
         past = F.greatest(year - 9999, F.lit(0)) + F.least(year - 1899, F.lit(0))
@@ -39,7 +41,7 @@ def civil(s: Column) -> Column:
         pick = lambda usual, at0, at60: F.when(s == 60, at60).when(s == 0, at0).otherwise(usual).cast("double")
         return F.struct(pick(F.year(date), 1900, 1900).alias("y"), pick(F.month(date), 1, 2).alias("m"), pick(F.dayofmonth(date), 0, 29).alias("d"))
 
-    return bind([F.floor(s)], parts)
+    return bind([down(s)], parts)
 
 
 def with_civil(serials: list[Column], body) -> Column:
@@ -76,6 +78,44 @@ def time(h, m, s):
     return _pmod(total, 86400) / 86400, [((total < 0) | (h > 32767) | (m > 32767) | (s > 32767), NUM)]
 
 
+def _with_fast(name: str, fast: Callable[..., tuple[Column, Column]]) -> Callable[..., Val]:
+    """Let a date function answer by Spark's own date functions where they agree: from 1 March 1900 on.
+
+    fast gives (whether it may be used, the value); elsewhere the function's own expression counts.
+    """
+    slow = FUNCTIONS[name]
+
+    def call(*args: object) -> Val:
+        made = slow(*args)
+        if len(args) > 2 or not args:
+            return made
+        vals = [num(a) for a in args]
+        usable, value = fast(*[v.v for v in vals])
+        usable = F.coalesce(usable, F.lit(False))
+        err = first_error(*[v.e for v in vals])
+        usable = usable if err is None else usable & err.isNull()
+        return Val("number", F.when(usable, value).otherwise(made.v), None if made.e is None else F.when(~usable, made.e))
+
+    call.__name__, call.__doc__ = slow.__name__, slow.__doc__
+    FUNCTIONS[name] = call
+    return call
+
+
+def _civil_date(s: Column) -> Column:
+    """The date of a serial from 61 on; null elsewhere."""
+    return F.date_add(F.lit(_ORIGIN).cast("date"), F.when(_usual(s), F.floor(s)).cast("int"))
+
+
+def _usual(s: Column) -> Column:
+    return (s >= 61) & (s < LAST + 1)
+
+
+def _moved(s: Column, months: Column, last: bool) -> tuple[Column, Column]:
+    date = F.add_months(_civil_date(s), F.when(F.abs(months) < 12 * 9000, trunc0(months)).cast("int"))
+    days = F.datediff(F.last_day(date) if last else date, F.lit(_ORIGIN).cast("date")).cast("double")
+    return _usual(s) & (days >= 61) & (days <= LAST), days
+
+
 @function("YEAR", "n", "number", once=True)
 def year(s):
     return civil(s)["y"], [_outside(s)]
@@ -93,42 +133,49 @@ def day(s):
 
 @function("EDATE", "n i", "number", once=True)
 def edate(s, months):
-    """The same day so many months on, at most the month's last."""
-    found = with_civil([s], lambda y, m, d: _inside(first_of_month(y, m + months) + F.least(d, _days_in_month(y, m + months)) - 1))
+    """The same day so many months on, at most the month's last; none before 1900."""
+    found = with_civil([s], lambda y, m, d: F.when(y * 12 + m + months > 1900 * 12, _inside(first_of_month(y, m + months) + F.least(d, _days_in_month(y, m + months)) - 1)))
     return found, [_outside(s), (None, NUM)]
 
 
 @function("EOMONTH", "n i", "number", once=True)
 def eomonth(s, months):
-    found = with_civil([s], lambda y, m, d: _inside(first_of_month(y, m + months + 1) - 1))
+    found = with_civil([s], lambda y, m, d: F.when(y * 12 + m + months > 1900 * 12, _inside(first_of_month(y, m + months + 1) - 1)))
     return found, [_outside(s), (None, NUM)]
 
 
+year = _with_fast("YEAR", lambda s: (_usual(s), F.year(_civil_date(s)).cast("double")))
+month = _with_fast("MONTH", lambda s: (_usual(s), F.month(_civil_date(s)).cast("double")))
+day = _with_fast("DAY", lambda s: (_usual(s), F.dayofmonth(_civil_date(s)).cast("double")))
+edate = _with_fast("EDATE", lambda s, m: _moved(s, m, False))
+eomonth = _with_fast("EOMONTH", lambda s, m: _moved(s, m, True))
+
+
 @function("WEEKDAY", "n i=1", "number", once=True)
 def weekday(s, kind):
-    d = F.floor(s)
+    d = down(s)
     start = F.when(kind == 1, 1).when(kind == 2, 2).when((kind >= 11) & (kind <= 17), kind - 9)
     found = F.when(kind == 3, _pmod(d - 2, 7)).otherwise(_pmod(d - start, 7) + 1)
     return found.cast("double"), [_outside(s), (None, NUM)]
 
 
 def _iso_week(d: Column) -> Column:
-    week = bind([F.greatest(d - _pmod(d - 2, 7) + 3, F.lit(0))], lambda t: F.floor((t - first_of_month(civil(t)["y"], F.lit(1))) / 7) + 1)
+    week = bind([F.greatest(d - _pmod(d - 2, 7) + 3, F.lit(0))], lambda t: down((t - first_of_month(civil(t)["y"], F.lit(1))) / 7) + 1)
     return F.when(d <= 1, 52.0).otherwise(week)
 
 
 @function("WEEKNUM", "n i=1", "number", once=True)
 def weeknum(s, kind):
-    d = F.floor(s)
+    d = down(s)
     start = F.when((kind == 1) | (kind == 17), 1).when((kind == 2) | (kind == 11), 2).when((kind >= 12) & (kind <= 16), kind - 9)
     jan1 = first_of_month(civil(d)["y"], F.lit(1))
-    found = bind([jan1], lambda j: F.floor((d - j + _pmod(j - start, 7)) / 7) + 1)
+    found = bind([jan1], lambda j: down((d - j + _pmod(j - start, 7)) / 7) + 1)
     return F.when(kind == 21, _iso_week(d)).otherwise(found).cast("double"), [_outside(s), (start.isNull() & (kind != 21), NUM)]
 
 
 @function("ISOWEEKNUM", "n", "number", once=True)
 def isoweeknum(s):
-    return _iso_week(F.floor(s)).cast("double"), [_outside(s)]
+    return _iso_week(down(s)).cast("double"), [_outside(s)]
 
 
 def _mask(weekend: object, one_sided: bool) -> tuple[list[int] | None, str | None]:
@@ -151,12 +198,12 @@ def _mask(weekend: object, one_sided: bool) -> tuple[list[int] | None, str | Non
 def _through(n: Column, work: list[int]) -> Column:
     """Working days among the serials 0 to n."""
     prefix = F.lit([sum(w < k for w in work) for k in range(7)])
-    return len(work) * F.floor((n + 1) / 7) + F.get(prefix, _pmod(n + 1, 7).cast("int"))
+    return len(work) * down((n + 1) / 7) + F.get(prefix, _pmod(n + 1, 7).cast("int"))
 
 
 def _nth(w: Column, work: list[int]) -> Column:
     """The serial of the w-th working day from serial 0 on."""
-    return 7 * F.floor((w - 1) / len(work)) + F.get(F.lit(work), _pmod(w - 1, len(work)).cast("int"))
+    return 7 * down((w - 1) / len(work)) + F.get(F.lit(work), _pmod(w - 1, len(work)).cast("int"))
 
 
 def _holidays(given: object, work: list[int]) -> Column | None:
@@ -164,7 +211,7 @@ def _holidays(given: object, work: list[int]) -> Column | None:
     if given is None or (isinstance(given, list) and not given):
         return None
     column = given if isinstance(given, Column) else F.lit([float(int(h)) for h in given])
-    return F.array_distinct(F.filter(F.transform(column, lambda h: F.floor(h)), lambda h: F.array_contains(F.lit(work), F.pmod(h, F.lit(7)).cast("int"))))
+    return F.array_distinct(F.filter(F.transform(column, lambda h: down(h)), lambda h: F.array_contains(F.lit(work), F.pmod(h, F.lit(7)).cast("int"))))
 
 
 def networkdays_intl(start: object, end: object, weekend: object = 1, holidays: object = None) -> Val:
@@ -182,7 +229,7 @@ def networkdays_intl(start: object, end: object, weekend: object = 1, holidays:
         good = (low >= 0) & (high <= LAST)
         return F.when(good, n * F.when(x > y, -1).otherwise(1)).cast("double")
 
-    found = bind([F.floor(a.v), F.floor(b.v)], count)
+    found = bind([down(a.v), down(b.v)], count)
     return guarded("number", found, first_error(a.e, b.e, F.when(found.isNull(), F.lit(NUM))))
 
 
@@ -211,7 +258,7 @@ def workday_intl(start: object, days: object, weekend: object = 1, holidays: obj
         found = F.when(d == 0, s).when(d > 0, forward).otherwise(back).cast("double")
         return F.when((s >= 0) & (s <= LAST), _inside(found))
 
-    found = bind([F.floor(a.v), trunc0(n.v)], move)
+    found = bind([down(a.v), trunc0(n.v)], move)
     return guarded("number", found, first_error(a.e, n.e, F.when(found.isNull(), F.lit(NUM))))
 
 
@@ -260,7 +307,7 @@ def _year_fraction(basis: Column, days: Column, a: Column, b: Column, y1, m1, d1
 @function("YEARFRAC", "n n i=0", "number", once=True)
 def yearfrac(start, end, basis):
     found = bind(
-        [F.floor(F.least(start, end)), F.floor(F.greatest(start, end))],
+        [down(F.least(start, end)), down(F.greatest(start, end))],
         lambda a, b: with_civil([a, b], lambda *parts: _year_fraction(basis, b - a, a, b, *parts)),
     )
     return found, [_outside(start), _outside(end), ((basis < 0) | (basis > 4), NUM)]

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabulon.functions.values import (
-    DIV0, FUNCTIONS, NA, NAME, NULL, NUM, REF, VALUE, Val, as_val, cast_to, error, first_error, fold, function, guarded, num, r15, truth, txt,
+    DIV0, FUNCTIONS, NA, NAME, NULL, NUM, REF, VALUE, Val, as_val, cast_to, down, error, first_error, fold, function, guarded, num, r15, truth, txt,
 )
 
 
@@ -76,18 +76,22 @@ _RANK = {"number": 0, "blank": 0, "text": 1, "bool": 2}
 
 
 def less(a: object, b: object) -> Val:
-    """Numbers below text below logicals; text without case."""
+    """Numbers below text below logicals, a blank is the number 0; text without case."""
     a, b = as_val(a), as_val(b)
-    if a.kind == "blank" and b.kind != "blank":
-        a = Val(b.kind, F.lit(None).cast({"number": "double", "text": "string", "bool": "boolean"}[b.kind]), a.e)
-    if b.kind == "blank" and a.kind != "blank":
-        b = Val(a.kind, F.lit(None).cast({"number": "double", "text": "string", "bool": "boolean"}[a.kind]), b.e)
-    if _RANK[a.kind] != _RANK[b.kind]:
-        below = F.lit(_RANK[a.kind] < _RANK[b.kind])
-    elif a.kind == "text":
-        below = fold(txt(a).v) < fold(txt(b).v)
-    else:
+    if _RANK[a.kind] == _RANK[b.kind] == 0:
         below = num(a).v < num(b).v
+    else:
+        if a.kind == b.kind:
+            below = fold(a.v) < fold(b.v) if a.kind == "text" else a.v < b.v
+        else:
+            below = F.lit(_RANK[a.kind] < _RANK[b.kind])
+        # a blank meets numbers as 0, and is below all else
+        no_a = num(b).v > 0 if _RANK[b.kind] == 0 else b.v.isNotNull()
+        no_b = num(a).v < 0 if _RANK[a.kind] == 0 else F.lit(False)
+        if _RANK[a.kind]:
+            below = F.when(a.v.isNull(), no_a).otherwise(below)
+        if _RANK[b.kind]:
+            below = F.when(a.v.isNotNull() & b.v.isNull(), no_b).otherwise(below)
     return guarded("bool", below, first_error(a.e, b.e))
 
 
@@ -192,7 +196,7 @@ def not_(b):
 
 def choose(index: object, *values: object) -> Val:
     i = num(index)
-    at = F.floor(i.v)
+    at = down(i.v)
     return choose_case([(at == k + 1, as_val(v)) for k, v in enumerate(values)], error(VALUE), i.e)
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabulon.functions.values import FUNCTIONS, NA, VALUE, Val, as_val, error, first_error, function, guarded, num, r15, trunc0, txt
+from tabulon.functions.values import FUNCTIONS, NA, VALUE, Val, as_int, as_val, down, error, first_error, function, guarded, num, plain, r15, trunc0, txt
 from tabulon.functions.values import _LOWER as _SMALL
 from tabulon.functions.values import _UPPER as _CAPITAL
 
@@ -34,17 +34,17 @@ def len_(t):
 
 @function("LEFT", "s i=1", "text")
 def left(t, n):
-    return F.substring(t, F.lit(1), n.cast("int")), [(n < 0, VALUE)]
+    return F.substring(t, F.lit(1), as_int(n)), [(n < 0, VALUE)]
 
 
 @function("RIGHT", "s i=1", "text")
 def right(t, n):
-    return F.when(n <= 0, "").otherwise(F.right(t, n.cast("int"))), [(n < 0, VALUE)]
+    return F.when(n <= 0, "").otherwise(F.right(t, as_int(n))), [(n < 0, VALUE)]
 
 
 @function("MID", "s i i", "text")
 def mid(t, start, n):
-    return F.substring(t, start.cast("int"), n.cast("int")), [((start < 1) | (n < 0), VALUE)]
+    return F.substring(t, as_int(start), as_int(n)), [((start < 1) | (n < 0), VALUE)]
 
 
 @function("LOWER", "s", "text")
@@ -89,7 +89,7 @@ def find(needle: object, hay: object, start: object = 1.0) -> Val:
     """Case-sensitive place; an empty needle is at the start."""
     a, b, s = txt(needle), txt(hay), num(start)
     at, size = trunc0(s.v), F.length(b.v)
-    place = F.when(a.v == "", at).otherwise(F.call_function("locate", a.v, b.v, at.cast("int")).cast("double"))
+    place = F.when(a.v == "", at).otherwise(F.call_function("locate", a.v, b.v, as_int(at)).cast("double"))
     bad = (at < 1) | (at > size + 1)
     err = first_error(a.e, b.e, s.e, F.when(bad | (place == 0), F.lit(VALUE)))
     return guarded("number", place, err)
@@ -126,7 +126,7 @@ def search(pattern: object, hay: object, start: object = 1.0) -> Val:
         regex, empty, err = F.lit("(?is)" + wildcard_regex(pattern).replace(".*", ".*?")), F.lit(pattern == ""), None
     b, s = txt(hay), num(start)
     at = trunc0(s.v)
-    rest = F.substring(b.v, at.cast("int"), F.length(b.v))
+    rest = F.substring(b.v, as_int(at), F.length(b.v))
     place = F.when(empty, at).otherwise(F.regexp_instr(rest, regex) + at - 1)
     miss = (at < 1) | (at > F.length(b.v)) | (~empty & (F.regexp_instr(rest, regex) == 0))
     err = first_error(err, b.e, s.e, F.when(miss, F.lit(VALUE)))
@@ -141,10 +141,10 @@ def substitute(t: object, old: object, new: object, instance: object = None) ->
     if instance is None:
         return guarded("text", F.when(o.v == "", a.v).otherwise(F.replace(a.v, o.v, n.v)), first_error(a.e, o.e, n.e))
     i = num(instance)
-    k = trunc0(i.v).cast("int")
+    k = as_int(trunc0(i.v))
     parts = F.split(a.v, _quote(o.v), -1)
-    head, tail = F.array_join(F.slice(parts, F.lit(1), F.greatest(k, F.lit(1))), "\x00"), F.array_join(F.slice(parts, F.greatest(k, F.lit(1)) + 1, F.size(parts)), "\x00")
-    glued = F.concat(F.replace(head, F.lit("\x00"), o.v), n.v, F.replace(tail, F.lit("\x00"), o.v))
+    join = lambda some: F.call_function("array_join", some, o.v)
+    glued = F.concat(join(F.slice(parts, F.lit(1), F.greatest(k, F.lit(1)))), n.v, join(F.slice(parts, F.greatest(k, F.lit(1)) + 1, F.size(parts))))
     value = F.when((o.v == "") | (F.size(parts) <= k), a.v).otherwise(glued)
     return guarded("text", value, first_error(a.e, o.e, n.e, i.e, F.when(k < 1, F.lit(VALUE))))
 
@@ -154,8 +154,8 @@ FUNCTIONS["SUBSTITUTE"] = substitute
 
 @function("REPLACE", "s i i s", "text")
 def replace(t, start, n, new):
-    at = start.cast("int")
-    return F.concat(F.substring(t, F.lit(1), at - 1), new, F.substring(t, at + n.cast("int"), F.length(t))), [((start < 1) | (n < 0), VALUE)]
+    at = as_int(start)
+    return F.concat(F.substring(t, F.lit(1), at - 1), new, F.substring(t, at + as_int(n), F.length(t))), [((start < 1) | (n < 0), VALUE)]
 
 
 @function("REPT", "s i", "text")
@@ -172,10 +172,13 @@ WINDOWS_1252 = [
 ]
 
 
+#: The 255 characters in a row; their places are their codes.
+_CHARACTERS = "".join(chr(k) for k in range(1, 128)) + "".join(c or chr(128 + k) for k, c in enumerate(WINDOWS_1252)) + "".join(chr(k) for k in range(160, 256))
+
+
 @function("CHAR", "i", "text")
 def char(n):
-    table = [chr(k) for k in range(1, 128)] + [c or chr(128 + k) for k, c in enumerate(WINDOWS_1252)] + [chr(k) for k in range(160, 256)]
-    return F.try_element_at(F.lit(table), n.cast("int")), [((n < 1) | (n > 255), VALUE)]
+    return F.substring(F.lit(_CHARACTERS), as_int(n), F.lit(1)), [((n < 1) | (n > 255), VALUE)]
 
 
 @function("CODE", "s", "number")
@@ -235,7 +238,7 @@ def _lengths(parts: Column, n: Column) -> Column:
 
 def _around(t: object, delimiter: object, instance: object, any_case: bool, at_end: bool, otherwise: object, after: bool) -> Val:
     a, i = txt(t), num(instance)
-    k = trunc0(i.v).cast("int")
+    k = as_int(trunc0(i.v))
     given = [delimiter] if isinstance(delimiter, str) else list(delimiter)
     given = sorted(given, key=lambda d: -len(d)) if not after else given
     useful = [d for d in given if d]
@@ -349,11 +352,10 @@ def format_text(x: object, pattern: str) -> Val:
         part = m["part"] or ""
         scaled = r15(F.abs(n.v)) * (100.0 ** len(m["share"]))
         p = 10.0 ** len(part)
-        rounded = F.floor(scaled * p + 0.5)
-        whole = F.floor(rounded / p).cast("bigint").cast("string")
+        rounded = down(scaled * p + 0.5)
+        whole = plain(down(rounded / p))
         least = m["whole"].count("0")
-        whole = F.lpad(whole, least, "0") if least > 1 else whole
-        whole = F.when((F.length(whole) < least), F.lpad(whole, max(least, 1), "0")).otherwise(whole) if least > 1 else whole
+        whole = F.when(F.length(whole) < least, F.lpad(whole, least, "0")).otherwise(whole) if least > 1 else whole
         if not least:
             whole = F.when(whole == "0", "").otherwise(whole)
         if "," in m["whole"]:

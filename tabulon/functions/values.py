@@ -99,12 +99,31 @@ def num(x: object) -> Val:
     return Val("number", F.when(a.v.isNull(), F.lit(0.0)).when(good, clean.try_cast("double")), err)
 
 
+def down(v: Column) -> Column:
+    """Floor as a double; from 2^53 on a double is whole, and a bigint may not hold it."""
+    return F.when(F.abs(v) < 2.0**53, F.floor(v).cast("double")).otherwise(v)
+
+
+def up(v: Column) -> Column:
+    """Ceiling as a double."""
+    return F.when(F.abs(v) < 2.0**53, F.ceil(v).cast("double")).otherwise(v)
+
+
+def as_int(v: Column) -> Column:
+    """A number as an int, brought into half its range so that two of them can be added."""
+    return F.greatest(F.least(v, F.lit(float(1 << 30))), F.lit(-float(1 << 30))).cast("int")
+
+
 def plain(v: Column) -> Column:
     """A number as & shows it: no exponent, no trailing zeros."""
-    whole = (v == F.floor(v)) & (F.abs(v) < 1e15)
-    digits = F.regexp_replace(F.regexp_replace(v.cast("decimal(38,17)").cast("string"), "0+$", ""), r"\.$", "")
     shortest = v.cast("string")
-    return F.when(whole, v.cast("bigint").cast("string")).when(~shortest.contains("E"), shortest).otherwise(digits)
+    digits = F.regexp_replace(F.translate(F.regexp_extract(shortest, r"^-?([0-9.]+)E", 1), ".", ""), "0+$", "")
+    power = F.regexp_extract(shortest, r"E(-?[0-9]+)$", 1).try_cast("int")
+    fraction = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    moved = F.when(F.length(digits) <= power + 1, F.rpad(digits, power + 1, F.lit("0"))).otherwise(F.concat(F.left(digits, power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
+    expanded = F.concat(F.when(v < 0, "-").otherwise(""), F.when(power < 0, fraction).otherwise(moved))
+    small = F.abs(v) < 1e15
+    return F.when(small & (v == F.floor(v)), F.when(small, v).cast("bigint").cast("string")).when(~shortest.contains("E"), shortest).otherwise(expanded)
 
 
 def txt(x: object) -> Val:
@@ -147,12 +166,12 @@ def bind(columns: list[Column], body: Callable[..., Column]) -> Column:
 
 def trunc0(v: Column) -> Column:
     """Toward zero."""
-    return F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("double")
+    return F.when(v < 0, up(v)).otherwise(down(v))
 
 
 def half_away(v: Column) -> Column:
     """To the nearest integer, halves away from zero."""
-    return F.signum(v) * F.floor(F.abs(v) + 0.5)
+    return F.signum(v) * down(F.abs(v) + 0.5)
 
 
 def r15(v: Column) -> Column:

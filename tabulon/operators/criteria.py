@@ -56,11 +56,23 @@ def criterion(column: Column, kind: str, given: object, *, counting: bool = True
         if re.search(r"[*?]", operand):
             hit = column.rlike("(?s)^" + re.sub(r"[A-Za-z]", lambda m: f"[{m[0].upper()}{m[0].lower()}]", wildcard_regex(operand)) + "$")
         else:
-            hit = fold(column) == re.sub("[A-Z]", lambda m: m[0].lower(), operand.replace("~~", "~"))
-        return F.coalesce(hit, F.lit(False)) if op == "=" else ~F.coalesce(hit, F.lit(False))
+            hit = _same_text(column, operand.replace("~~", "~"))
+        return hit if op == "=" else ~F.coalesce(hit, F.lit(False))
     return _compare(fold(column), op, re.sub("[A-Z]", lambda m: m[0].lower(), operand))
 
 
+def _same_text(column: Column, wanted: str) -> Column:
+    """Equal without case; short texts as a list of their spellings, which Parquet filters take."""
+    letters = [k for k, c in enumerate(wanted) if re.match("[A-Za-z]", c)]
+    if len(letters) > 4:
+        return fold(column) == re.sub("[A-Z]", lambda m: m[0].lower(), wanted)
+    spellings = [""]
+    for c in wanted:
+        both = sorted({c.lower(), c.upper()}) if re.match("[A-Za-z]", c) else [c]
+        spellings = [s + b for s in spellings for b in both]
+    return column.isin(*spellings)
+
+
 def _all(tests: list[Column]) -> Column:
     out = tests[0]
     for t in tests[1:]:

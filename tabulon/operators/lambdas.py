@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabulon.functions.values import bind
+from tabulon.operators.ordering import before_parts, in_order
+
 #: Running folds that a window or an aggregate does, by operator.
-ASSOCIATIVE = {"+": F.sum, "max": F.max, "min": F.min}
+ASSOCIATIVE = {"+": F.sum, "max": F.max, "min": F.min, "*": F.product}
+_JOINED: dict[str, Callable[[Column, Column], Column]] = {"+": lambda a, b: a + b, "*": lambda a, b: a * b, "max": lambda a, b: F.greatest(a, b), "min": lambda a, b: F.least(a, b)}
 
 
 def makearray(spark: SparkSession, rows: int, columns: int, body: Callable[[Column, Column], Column]) -> DataFrame:
@@ -22,15 +26,27 @@ def map_rows(frame: DataFrame, out: str, body: Callable[..., Column], *columns:
 
 
 def scan(frame: DataFrame, column: str, how: str, by: list[str], order: list[str], out: str = "running") -> DataFrame:
-    """SCAN with an associative body: a running window in each ``by`` group."""
-    over = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return frame.withColumn(out, ASSOCIATIVE[how](F.col(column)).over(over))
+    """SCAN with an associative body: a running window in each ``by`` group.
+
+    Without groups the rows are sorted over ranges: each range has its own window and starts from
+    the total of the ranges before it, so no task holds all rows.
+    """
+    fold = ASSOCIATIVE[how]
+    if by:
+        return frame.withColumn(out, fold(F.col(column)).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    placed = in_order(frame, *order)
+    totals = placed.groupBy("_part").agg(fold(F.col(column)).alias("_total"))
+    before = before_parts(totals, fold(F.col("_total")), "_before")
+    inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.withColumn("_own", fold(F.col(column)).over(inside)).join(F.broadcast(before), "_part")
+    joined = F.when(F.col("_before").isNull(), F.col("_own")).when(F.col("_own").isNull(), F.col("_before")).otherwise(_JOINED[how](F.col("_before"), F.col("_own")))
+    return own.withColumn(out, joined).drop("_own", "_before", "_part", "_place")
 
 
 def scan_array(values: Column, init: Column, body: Callable[[Column, Column], Column]) -> Column:
-    """SCAN of an array with any body."""
+    """SCAN of an array with any body, which is evaluated once a cell."""
     start = F.struct(init.alias("acc"), F.array().cast("array<double>").alias("all"))
-    step = lambda s, v: F.struct(body(s["acc"], v).alias("acc"), F.array_append(s["all"], body(s["acc"], v)).alias("all"))
+    step = lambda s, v: bind([body(s["acc"], v)], lambda x: F.struct(x.alias("acc"), F.array_append(s["all"], x).alias("all")))
     return F.aggregate(values, start, step, lambda s: s["all"])
 
 

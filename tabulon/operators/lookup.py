@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import wildcard_regex
-from tabulon.functions.values import fold
-
-#: Ranges that a nearest look-up deals its keys to.
-RANGES = 200
+from tabulon.functions.values import NA, REF, VALUE, fold
+from tabulon.operators.ordering import before_parts, in_order
 
 
 def _folded(c: Column, is_text: bool) -> Column:
     return fold(c) if is_text else c
 
 
+def _is_text(frame: DataFrame, column: str) -> bool:
+    return dict(frame.dtypes)[column] == "string"
+
+
 def lookup_exact(
     frame: DataFrame, key: str, table: DataFrame, table_key: str, returns: str, table_ord: str, *, out: str = "found", last: bool = False, if_missing: object = None
 ) -> DataFrame:
@@ -24,48 +26,94 @@ def lookup_exact(
     The table is cut to one row a key before the join; whether it is then broadcast is left to
     the optimizer's measure of its size.
     """
-    is_text = dict(table.dtypes)[table_key] == "string"
+    is_text = _is_text(table, table_key)
     pick = F.max_by if last else F.min_by
     one = table.where(F.col(table_key).isNotNull()).groupBy(_folded(F.col(table_key), is_text).alias("_k")).agg(pick(returns, table_ord).alias(out), F.lit(True).alias("_hit"))
     joined = frame.join(one, _folded(F.col(key), is_text) == F.col("_k"), "left").drop("_k")
     value = F.col(out) if if_missing is None else F.when(F.col("_hit"), F.col(out)).otherwise(F.lit(if_missing))
-    return joined.withColumn(out, value).withColumn("error", F.when(F.col("_hit").isNull() & F.lit(if_missing is None), F.lit("#N/A"))).drop("_hit")
+    return joined.withColumn(out, value).withColumn("error", F.when(F.col("_hit").isNull() & F.lit(if_missing is None), F.lit(NA))).drop("_hit")
 
 
-def lookup_nearest(frame: DataFrame, key: str, table: DataFrame, table_key: str, returns: str, *, out: str = "found", larger: bool = False) -> DataFrame:
+def lookup_nearest(
+    frame: DataFrame, key: str, table: DataFrame, table_key: str, returns: str, table_ord: str | None = None, *, out: str = "found", larger: bool = False, exact_first: bool = False
+) -> DataFrame:
     """Approximate VLOOKUP, MATCH 1 and XLOOKUP -1 (or 1 with ``larger``): the nearest key.
 
-    Keys are dealt to value ranges of about equal size; within a range one pass in key order
-    carries the last table row on, and each range starts from the nearest table row of the
-    ranges before it. So no window runs over all rows; a table key of frame rows that are all
-    equal still shares one range.
+    Of equal table keys the last row by ``table_ord`` counts, as it does for VLOOKUP on sorted
+    keys; the first with ``exact_first``, as for XLOOKUP. Keys are numbers of any type, or text
+    without case. Each distinct key is looked up once: table keys and wanted keys are sorted
+    together over ranges, a pass within each range carries the last table row on, and a range
+    starts from the last table row of the ranges before it. So equal wanted keys meet nowhere but
+    in the join that brings their rows back, which can be split, and null keys take no part.
+    """
+    is_text = _is_text(table, table_key)
+    turned = (lambda c: c.desc()) if larger else (lambda c: c.asc())
+    position = F.col(table_ord) if table_ord else F.lit(0)
+    pick = F.min_by if exact_first else F.max_by
+    rows = table.where(F.col(table_key).isNotNull()).groupBy(_folded(F.col(table_key), is_text).alias("_k"))
+    rows = rows.agg(pick(F.struct(F.col(returns).alias("v")), position).alias("_v"))
+    wanted = frame.where(F.col(key).isNotNull()).select(_folded(F.col(key), is_text).alias("_k")).distinct()
+    both = rows.withColumn("_side", F.lit(0)).unionByName(wanted.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    placed = in_order(both, turned(F.col("_k")), "_side")
+    inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    ends = placed.where("_side = 0").groupBy("_part").agg(F.max_by("_v", "_place").alias("_end"))
+    every = placed.select("_part").distinct().join(ends, "_part", "left")
+    start = before_parts(every, F.last("_end", ignorenulls=True), "_start")
+    seen = placed.withColumn("_seen", F.last("_v", ignorenulls=True).over(inside)).where("_side = 1")
+    found = seen.join(F.broadcast(start), "_part", "left").select("_k", F.coalesce("_seen", "_start").alias("_got"))
+    joined = frame.join(found, _folded(F.col(key), is_text) == F.col("_k"), "left")
+    return joined.withColumn(out, F.col("_got.v")).withColumn("error", F.when(F.col("_got").isNull(), F.lit(NA))).drop("_k", "_got")
+
+
+def lookup_wildcard(frame: DataFrame, key: str, table: DataFrame, table_key: str, returns: str, table_ord: str, *, out: str = "found", last: bool = False) -> DataFrame:
+    """XLOOKUP mode 2 and exact look-ups of texts with * ? ~: the first (or last) row that a pattern matches.
+
+    Patterns of equal text are looked up once, in one pass over the table: the patterns are what
+    a formula's author writes, so their distinct number is small; its product with the table is
+    streamed, and only the best row of each pattern is kept.
     """
-    sign = -1.0 if larger else 1.0
-    keyed = frame.withColumn("_k", F.col(key).cast("double") * sign)
-    rows = table.where(F.col(table_key).isNotNull()).select((F.col(table_key).cast("double") * sign).alias("_k"), F.col(returns).alias("_v"))
-    rows = rows.groupBy("_k").agg(F.first("_v").alias("_v"))
-    cuts = keyed.where(F.col("_k").isNotNull()).approxQuantile("_k", [i / RANGES for i in range(1, RANGES)], 0.001)
-    cuts = sorted(set(cuts))
-    place = F.size(F.filter(F.lit(cuts or [0.0]), lambda c: c <= F.col("_k")))
-    left = keyed.withColumn("_range", place).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(dict(rows.dtypes)["_v"])).withColumn("_t", F.lit(False))
-    right = rows.withColumn("_range", place).withColumn("_side", F.lit(0)).withColumn("_t", F.lit(True))
-    ends = right.groupBy("_range").agg(F.max_by(F.struct("_v"), "_k").alias("_end"))
-    every = frame.sparkSession.range(RANGES + 1).select(F.col("id").cast("int").alias("_range")).join(ends, "_range", "left")
-    start = every.withColumn("_start", F.last("_end", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
-    both = left.unionByName(right, allowMissingColumns=True)
-    seen = F.last(F.when(F.col("_t"), F.struct("_v")), ignorenulls=True).over(Window.partitionBy("_range").orderBy("_k", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    met = both.withColumn("_seen", seen).where(~F.col("_t")).join(F.broadcast(start), "_range", "left")
-    got = F.coalesce("_seen", "_start")
-    found = met.withColumn(out, F.when(F.col("_k").isNotNull(), got["_v"])).withColumn("error", F.when(got.isNull() | F.col("_k").isNull(), F.lit("#N/A")))
-    return found.drop("_k", "_range", "_side", "_v", "_t", "_seen", "_start")
+    patterns = frame.where(F.col(key).isNotNull()).select(F.col(key).alias("_p")).distinct()
+    escaped = F.regexp_replace("_p", r"([\\.\[\]{}()+\-^$|])", r"\\$1")
+    held = F.replace(F.replace(F.replace(escaped, F.lit("~~"), F.lit("\x01")), F.lit("~*"), F.lit("\x02")), F.lit("~?"), F.lit("\x03"))
+    wild = F.replace(F.replace(held, F.lit("?"), F.lit(".")), F.lit("*"), F.lit(".*"))
+    regex = F.concat(F.lit("(?is)^"), F.replace(F.replace(F.replace(wild, F.lit("\x01"), F.lit("~")), F.lit("\x02"), F.lit("\\*")), F.lit("\x03"), F.lit("\\?")), F.lit("$"))
+    pick = F.max_by if last else F.min_by
+    rows = table.where(F.col(table_key).isNotNull()).select(F.col(table_key).alias("_t"), F.struct(F.col(returns).alias("v")).alias("_v"), F.col(table_ord).alias("_o"))
+    hits = rows.join(patterns.withColumn("_r", regex), F.rlike("_t", F.col("_r"))).groupBy("_p").agg(pick("_v", "_o").alias("_got"))
+    joined = frame.join(hits, F.col(key) == F.col("_p"), "left")
+    return joined.withColumn(out, F.col("_got.v")).withColumn("error", F.when(F.col("_got").isNull(), F.lit(NA))).drop("_p", "_got")
 
 
 def match_wildcard(table: DataFrame, column: str, pattern: str, table_ord: str) -> DataFrame:
     """MATCH 0 with * ? ~: the position of the first row whose text matches."""
     hit = F.col(column).rlike("(?is)^" + wildcard_regex(pattern) + "$")
-    return table.where(hit).agg(F.min(table_ord).alias("value")).withColumn("error", F.when(F.col("value").isNull(), F.lit("#N/A")))
+    return table.where(hit).agg(F.min(table_ord).alias("value")).withColumn("error", F.when(F.col("value").isNull(), F.lit(NA)))
+
+
+def match_place(table: DataFrame, column: str, key: object, table_ord: str, kind: int) -> DataFrame:
+    """MATCH 1 (the last place whose key is not above, keys sorted) and -1 (the first place whose key is not below)."""
+    c = _folded(F.col(column), _is_text(table, column))
+    wanted = key.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) if isinstance(key, str) else key
+    found = F.max(table_ord) if kind > 0 else F.min(table_ord)
+    return table.where(c <= wanted if kind > 0 else c >= wanted).agg(found.alias("value")).withColumn("error", F.when(F.col("value").isNull(), F.lit(NA)))
 
 
 def index_row(table: DataFrame, table_ord: str, row: int, column: str) -> DataFrame:
-    """INDEX: one cell by position."""
-    return table.where(F.col(table_ord) == row).select(F.col(column).alias("value"))
+    """INDEX: one cell by position, #REF! where there is none."""
+    cell = table.where(F.col(table_ord) == row).agg(F.first(column).alias("value"), F.count("*").alias("_n"))
+    return cell.withColumn("error", F.when(F.col("_n") == 0, F.lit(REF))).drop("_n")
+
+
+def hlookup(frame: DataFrame, key: str, table: DataFrame, table_ord: str, row: int, *, out: str = "found") -> DataFrame:
+    """HLOOKUP exact: the column of ``table`` whose cell in row 1 is the key, and its cell in row ``row``.
+
+    The two rows are picked by position and turned to (head, value) pairs, one a column.
+    """
+    cells = [c for c in table.columns if c != table_ord]
+    two = table.where(F.col(table_ord).isin(1, row)).select(table_ord, F.posexplode(F.array(*[F.col(c).cast("string") for c in cells])).alias("_c", "_v"))
+    pairs = two.groupBy("_c").agg(F.max(F.when(F.col(table_ord) == 1, F.col("_v"))).alias("_head"), F.max(F.when(F.col(table_ord) == row, F.col("_v"))).alias("_value"), F.max(table_ord).alias("_last"))
+    found = lookup_exact(frame, key, pairs, "_head", "_value", "_c", out=out)
+    if row < 1:
+        return found.withColumn(out, F.lit(None).cast("string")).withColumn("error", F.lit(VALUE))
+    height = table.agg(F.max(table_ord).alias("_height"))
+    return found.join(F.broadcast(height)).withColumn("error", F.when(F.coalesce("_height", F.lit(0)) < row, F.lit(REF)).otherwise(F.col("error"))).drop("_height")

@@ -7,8 +7,8 @@ plan is built; names are case-insensitive; an unknown function is #NAME?.
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+import inspect
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -17,117 +17,8 @@ import tabulon.functions.finance  # noqa: F401
 import tabulon.functions.logic as L
 import tabulon.functions.math as X
 import tabulon.functions.text  # noqa: F401
-from tabulon.functions.values import CALC, FUNCTIONS, NAME, VALUE, Val, as_val, error, num
-
-_TOKEN = re.compile(
-    r"""\s*(?:(?P<number>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<text>"(?:[^"]|"")*")|(?P<error>\#(?:NULL!|DIV/0!|VALUE!|REF!|NAME\?|NUM!|N/A|CALC!))
-    |(?P<name>[A-Za-z_\\][A-Za-z0-9_.\\]*)|(?P<op><=|>=|<>|[-+*/^&=<>%(),]))""",
-    re.X,
-)
-
-
-class FormulaError(ValueError):
-    """The text is not a formula."""
-
-
-@dataclass
-class Node:
-    kind: str
-    value: object = None
-    parts: list[Node] = field(default_factory=list)
-
-
-def lex(text: str) -> list[tuple[str, str]]:
-    out, at = [], 0
-    text = text.strip()
-    text = text[1:] if text.startswith("=") else text
-    while at < len(text.rstrip()):
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise FormulaError(f"unexpected {text[at : at + 10]!r}")
-        out.append((m.lastgroup, m[m.lastgroup]))
-        at = m.end()
-    return [*out, ("end", "")]
-
-
-class Parser:
-    """Loosest to tightest: comparison, &, + -, * /, ^ (right to left), signs, %, application."""
-
-    LEVELS = [{"=", "<>", "<", ">", "<=", ">="}, {"&"}, {"+", "-"}, {"*", "/"}]
-
-    def __init__(self, text: str) -> None:
-        self.tokens, self.at = lex(text), 0
-
-    def next(self, *wanted: str) -> bool:
-        if self.tokens[self.at][0] == "op" and self.tokens[self.at][1] in wanted:
-            self.at += 1
-            return True
-        return False
-
-    def parse(self) -> Node:
-        node = self.level(0)
-        if self.tokens[self.at][0] != "end":
-            raise FormulaError(f"unexpected {self.tokens[self.at][1]!r}")
-        return node
-
-    def level(self, k: int) -> Node:
-        if k == len(self.LEVELS):
-            return self.power()
-        node = self.level(k + 1)
-        while self.next(*self.LEVELS[k]):
-            op = self.tokens[self.at - 1][1]
-            node = Node("binary", op, [node, self.level(k + 1)])
-        return node
-
-    def power(self) -> Node:
-        node = self.sign()
-        return Node("binary", "^", [node, self.power()]) if self.next("^") else node
-
-    def sign(self) -> Node:
-        if self.next("+", "-"):
-            op = self.tokens[self.at - 1][1]
-            return Node("sign", op, [self.sign()])
-        node = self.atom()
-        while True:
-            if self.next("%"):
-                node = Node("percent", parts=[node])
-            elif self.next("("):
-                node = Node("apply", parts=[node, *self.arguments()])
-            else:
-                return node
-
-    def arguments(self) -> list[Node]:
-        if self.next(")"):
-            return []
-        out = []
-        while True:
-            kind, value = self.tokens[self.at]
-            out.append(Node("missing") if kind == "op" and value in ",)" else self.level(0))
-            if self.next(")"):
-                return out
-            if not self.next(","):
-                raise FormulaError("a comma or bracket is missing")
-
-    def atom(self) -> Node:
-        kind, value = self.tokens[self.at]
-        self.at += 1
-        if kind == "number":
-            return Node("number", float(value))
-        if kind == "text":
-            return Node("text", value[1:-1].replace('""', '"'))
-        if kind == "error":
-            return Node("error", value)
-        if kind == "name":
-            if self.next("("):
-                return Node("call", value.upper().removeprefix("_XLFN."), self.arguments())
-            return Node("name", value)
-        if (kind, value) == ("op", "("):
-            node = self.level(0)
-            if not self.next(")"):
-                raise FormulaError("a bracket is missing")
-            return node
-        raise FormulaError(f"unexpected {value or 'end'!r}")
-
+from tabulon.functions.values import CALC, FUNCTIONS, NAME, REF, VALUE, Val, as_val, error, num
+from tabulon.plans.parser import FormulaError, Node, column_letters, parse
 
 @dataclass
 class Lambda:
@@ -137,13 +28,15 @@ class Lambda:
 
 
 _OMITTED = object()
+#: Scope key of a function (name, argument nodes, scope) that is asked before a call is looked up; NotImplemented declines.
+CALLS = "\x00calls"
 _BINARY = {
     "+": L.add, "-": L.subtract, "*": L.multiply, "/": L.divide, "^": X.power, "&": L.concatenate,
     "=": L.equal, "<>": L.unequal, "<": L.less, ">": L.greater, "<=": L.at_most, ">=": L.at_least,
 }
 
 
-def _lower(node: Node, scope: dict[str, object]) -> object:
+def lower(node: Node, scope: dict[str, object]) -> object:
     if node.kind in ("number", "text"):
         return node.value
     if node.kind == "error":
@@ -156,30 +49,38 @@ def _lower(node: Node, scope: dict[str, object]) -> object:
             return key == "true"
         found = scope.get(key, error(NAME))
         return None if found is _OMITTED else found
+    if node.kind == "ref":  # a name that looks like a cell, such as q1
+        ref = node.value
+        held = scope.get(f"{column_letters(ref.left)}{ref.top + 1}".lower()) if ref.single and ref.sheet is None else None
+        return error(REF) if held is None else None if held is _OMITTED else held
+    if node.kind == "array":
+        return lower_value(node.parts[0].parts[0], scope) if node.parts[0].parts else error(VALUE)
+    if node.kind == "meet":
+        return error(REF)
     if node.kind == "sign":
-        inner = _value(node.parts[0], scope)
+        inner = lower_value(node.parts[0], scope)
         return L.negate(inner) if node.value == "-" else num(inner)
     if node.kind == "percent":
-        return L.percent(_value(node.parts[0], scope))
+        return L.percent(lower_value(node.parts[0], scope))
     if node.kind == "binary":
-        return _BINARY[str(node.value)](*[_value(p, scope) for p in node.parts])
+        return _BINARY[str(node.value)](*[lower_value(p, scope) for p in node.parts])
     if node.kind == "apply":
-        return _apply(_lower(node.parts[0], scope), node.parts[1:], scope)
+        return _apply(lower(node.parts[0], scope), node.parts[1:], scope)
     return _call(str(node.value), node.parts, scope)
 
 
-def _value(node: Node, scope: dict[str, object]) -> object:
+def lower_value(node: Node, scope: dict[str, object]) -> object:
     """A value; a function that is not applied is #CALC!."""
-    got = _lower(node, scope)
+    got = lower(node, scope)
     return error(CALC) if isinstance(got, Lambda) else got
 
 
 def _apply(function: object, args: list[Node], scope: dict[str, object]) -> object:
     if not isinstance(function, Lambda) or len(args) > len(function.names):
         return error(VALUE)
-    given = [_OMITTED if a.kind == "missing" else _lower(a, scope) for a in args]
+    given = [_OMITTED if a.kind == "missing" else lower(a, scope) for a in args]
     given += [_OMITTED] * (len(function.names) - len(given))
-    return _lower(function.body, function.scope | dict(zip(function.names, given, strict=True)))
+    return lower(function.body, function.scope | dict(zip(function.names, given, strict=True)))
 
 
 def _call(name: str, args: list[Node], scope: dict[str, object]) -> object:
@@ -194,24 +95,31 @@ def _call(name: str, args: list[Node], scope: dict[str, object]) -> object:
         for key, value in zip(args[:-1:2], args[1::2], strict=True):
             if key.kind != "name":
                 return error(NAME)
-            inner[str(key.value).lower()] = _lower(value, inner)
-        return _lower(args[-1], inner)
+            inner[str(key.value).lower()] = lower(value, inner)
+        return lower(args[-1], inner)
     if name == "ISOMITTED":
         return len(args) == 1 and args[0].kind == "name" and scope.get(str(args[0].value).lower()) is _OMITTED
+    asked = scope.get(CALLS)
+    if asked is not None and (got := asked(name, args, scope)) is not NotImplemented:
+        return got
     held = scope.get(name.lower())
     if isinstance(held, Lambda):
         return _apply(held, args, scope)
     if name not in FUNCTIONS:
         return error(NAME)
     try:
-        return FUNCTIONS[name](*[_value(a, scope) for a in args])
-    except TypeError:
+        inspect.signature(FUNCTIONS[name]).bind(*args)
+    except TypeError:  # too few or too many arguments
         return error(VALUE)
+    return FUNCTIONS[name](*[lower_value(a, scope) for a in args])
+
+
+__all__ = ["FormulaError", "compile_formula", "with_formula"]
 
 
 def compile_formula(text: str, names: dict[str, Val] | None = None) -> Val:
     """The expression of a formula; ``names`` gives the columns it may use."""
-    got = _value(Parser(text).parse(), {k.lower(): v for k, v in (names or {}).items()})
+    got = lower_value(parse(text), {k.lower(): v for k, v in (names or {}).items()})
     return as_val(got)
 
 
