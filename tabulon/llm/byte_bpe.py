@@ -8,7 +8,11 @@ they are put together by position. A frequent word costs one row a block, not on
 occurrence. Rows travel in packs, one for each block and bucket, compressed.
 
 Decoding joins ids with the token-byte table (one row for each rank of the file: a fixed,
-small table, so it is sent to every worker) and concatenates.
+small table). Where ids are put together the join is made on the spot, in the block's worker,
+which holds the table; ``decode`` does it for any table of ids, as a broadcast join.
+
+Buckets grow in number with the text, so that the distinct words of one stay of a size; a worker
+forgets words, oldest first, beyond a bound, which costs encoding them again and nothing else.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; rows with equal ids
 stay rows of their own; an empty table gives an empty result; extra columns are ignored.
@@ -29,6 +33,7 @@ import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabulon.llm.common import materialise, small_batches, table
 from tabulon.llm.pieces import cut
@@ -38,6 +43,10 @@ RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_CHARS = 32_000_000
 #: Texts that are compressed together.
 TEXTS_TOGETHER = 64
+#: Characters of text for each bucket of distinct words, and buckets at most (a block's list is cut into so many).
+BUCKET_CHARS, MAX_BUCKETS = 128_000_000, 4096
+#: Encoded words in each of the two halves that a worker keeps.
+SEEN_WORDS = 500_000
 #: Piece splits that a worker keeps while it makes a block.
 SPLIT_CACHE = 200_000
 
@@ -205,18 +214,51 @@ def encode_words(lists: DataFrame, ranks: str, buckets: int) -> DataFrame:
     """Every distinct word encoded once, where all blocks' lists of its bucket meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, seen = _encoder(ranks)._encode_single_piece, {}
+        piece = _encoder(ranks)._encode_single_piece
+        seen: dict[bytes, bytes] = {}
+        old: dict[bytes, bytes] = {}
+        bucket = None
         for batch in batches:
             out = []
-            for payload in batch.column(2).to_pylist():
+            for at, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if at != bucket:  # another bucket has other words
+                    bucket, seen, old = at, {}, {}
                 words = _unpack(payload)
                 for word in words:
                     if word not in seen:
-                        seen[word] = np.asarray(piece(word), dtype="<u4").tobytes()
+                        ids = old.get(word)
+                        seen[word] = np.asarray(piece(word), dtype="<u4").tobytes() if ids is None else ids
                 out.append(_pack([seen[w] for w in words]))
+                if len(seen) > SEEN_WORDS:
+                    seen, old = {}, seen
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
 
-    return lists.repartition(buckets, "bucket").mapInArrow(run, _IDS)
+    return lists.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _IDS)
+
+
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets for so much text: one for each BUCKET_CHARS, and as many as there are shuffle partitions."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(MAX_BUCKETS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS)))
+
+
+def token_table(spark: SparkSession, ranks: str) -> DataFrame:
+    """The token-byte table: (id, bytes), a row for each rank of the file."""
+    return spark.createDataFrame([(rank, token) for token, rank in read_ranks(ranks).items()], "id int, bytes binary")
+
+
+def decode(encoded: DataFrame, ranks: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """key and the bytes that each row's ids stand for, by a join with the token-byte table.
+
+    Rows are told apart by a number of their own, so equal and null keys are no matter; a row
+    without ids has no bytes.
+    """
+    rows = materialise(encoded.select(F.col(key), F.col(ids).alias("_ids")).withColumn("_row", F.monotonically_increasing_id()), "bpe-ids")
+    each = rows.select("_row", F.posexplode("_ids").alias("_at", "id"))
+    met = each.join(F.broadcast(token_table(encoded.sparkSession, ranks)), "id")
+    placed = F.transform(F.sort_array(F.collect_list(F.struct("_at", "bytes"))), lambda x: x["bytes"])
+    joined = met.groupBy("_row").agg(F.aggregate(placed, F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)).alias("decoded"))
+    return rows.drop("_ids").join(joined, "_row", "left").select(key, F.coalesce("decoded", F.lit(b"").cast("binary")).alias("decoded"))
 
 
 def encode(docs: DataFrame, *, ranks: str, buckets: int | None = None, digests: bool = False) -> DataFrame:
@@ -225,8 +267,7 @@ def encode(docs: DataFrame, *, ranks: str, buckets: int | None = None, digests:
     Columns: doc_id, n_tokens, then ids and decoded, or with ``digests`` their SHA-256 in hex
     (of the decimal ids joined by a space, and of the bytes).
     """
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or bucket_count(docs)
     made = materialise(blocks(docs, buckets), "bpe-blocks")
     texts = made.where("bucket < 0").select("block", "bucket", "doc_ids", "sizes", "payload")
     words = encode_words(made.where("bucket >= 0").select("block", "bucket", "payload"), ranks, buckets)

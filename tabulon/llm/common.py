@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.operators.ordering import shared_folder
+
 #: Rows of one Arrow batch. Documents can be long, so a batch is kept to a few hundred of them.
 BATCH_ROWS = 256
 
@@ -28,13 +30,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share.
+    """The folder that all executors and the driver share, as spark.checkpoint.dir names it.
 
-    It is the one named by spark.checkpoint.dir; where that is unset, as in local tests, a
-    folder in the warehouse, which a cluster shares too.
+    Where it is unset, a local session uses its warehouse; a cluster has to name one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    return base.rstrip("/")
+    return shared_folder(spark)
 
 
 def materialise(frame: DataFrame, label: str, *, codec: str = "zstd") -> DataFrame:
