@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,29 +76,6 @@ def time(h, m, s):
     return _pmod(total, 86400) / 86400, [((total < 0) | (h > 32767) | (m > 32767) | (s > 32767), NUM)]
 
 
-def _with_fast(name: str, fast: Callable[..., tuple[Column, Column]]) -> Callable[..., Val]:
-    """Let a date function answer by Spark's own date functions where they agree: from 1 March 1900 on.
-
-    fast gives (whether it may be used, the value); elsewhere the function's own expression counts.
-    """
-    slow = FUNCTIONS[name]
-
-    def call(*args: object) -> Val:
-        made = slow(*args)
-        if len(args) > 2 or not args:
-            return made
-        vals = [num(a) for a in args]
-        usable, value = fast(*[v.v for v in vals])
-        usable = F.coalesce(usable, F.lit(False))
-        err = first_error(*[v.e for v in vals])
-        usable = usable if err is None else usable & err.isNull()
-        return Val("number", F.when(usable, value).otherwise(made.v), None if made.e is None else F.when(~usable, made.e))
-
-    call.__name__, call.__doc__ = slow.__name__, slow.__doc__
-    FUNCTIONS[name] = call
-    return call
-
-
 def _civil_date(s: Column) -> Column:
     """The date of a serial from 61 on; null elsewhere."""
     return F.date_add(F.lit(_ORIGIN).cast("date"), F.when(_usual(s), F.floor(s)).cast("int"))
@@ -110,45 +85,40 @@ def _usual(s: Column) -> Column:
     return (s >= 61) & (s < LAST + 1)
 
 
-def _moved(s: Column, months: Column, last: bool) -> tuple[Column, Column]:
-    date = F.add_months(_civil_date(s), F.when(F.abs(months) < 12 * 9000, trunc0(months)).cast("int"))
+def _moved(s: Column, months: Column, last: bool, otherwise: Column) -> Column:
+    """The serial so many months on (or the last of that month) by Spark's own date functions, where
+    they agree with the 1900 system: from 1 March 1900 on."""
+    date = F.add_months(_civil_date(s), F.when(F.abs(months) < 12 * 9000, months).cast("int"))
     days = F.datediff(F.last_day(date) if last else date, F.lit(_ORIGIN).cast("date")).cast("double")
-    return _usual(s) & (days >= 61) & (days <= LAST), days
+    return bind([days], lambda d: F.when((d >= 61) & (d <= LAST), d).otherwise(otherwise))
 
 
 @function("YEAR", "n", "number", once=True)
 def year(s):
-    return civil(s)["y"], [_outside(s)]
+    return F.when(_usual(s), F.year(_civil_date(s)).cast("double")).otherwise(civil(s)["y"]), [_outside(s)]
 
 
 @function("MONTH", "n", "number", once=True)
 def month(s):
-    return civil(s)["m"], [_outside(s)]
+    return F.when(_usual(s), F.month(_civil_date(s)).cast("double")).otherwise(civil(s)["m"]), [_outside(s)]
 
 
 @function("DAY", "n", "number", once=True)
 def day(s):
-    return civil(s)["d"], [_outside(s)]
+    return F.when(_usual(s), F.dayofmonth(_civil_date(s)).cast("double")).otherwise(civil(s)["d"]), [_outside(s)]
 
 
 @function("EDATE", "n i", "number", once=True)
 def edate(s, months):
     """The same day so many months on, at most the month's last; none before 1900."""
     found = with_civil([s], lambda y, m, d: F.when(y * 12 + m + months > 1900 * 12, _inside(first_of_month(y, m + months) + F.least(d, _days_in_month(y, m + months)) - 1)))
-    return found, [_outside(s), (None, NUM)]
+    return _moved(s, months, False, found), [_outside(s), (None, NUM)]
 
 
 @function("EOMONTH", "n i", "number", once=True)
 def eomonth(s, months):
     found = with_civil([s], lambda y, m, d: F.when(y * 12 + m + months > 1900 * 12, _inside(first_of_month(y, m + months + 1) - 1)))
-    return found, [_outside(s), (None, NUM)]
-
-
-year = _with_fast("YEAR", lambda s: (_usual(s), F.year(_civil_date(s)).cast("double")))
-month = _with_fast("MONTH", lambda s: (_usual(s), F.month(_civil_date(s)).cast("double")))
-day = _with_fast("DAY", lambda s: (_usual(s), F.dayofmonth(_civil_date(s)).cast("double")))
-edate = _with_fast("EDATE", lambda s, m: _moved(s, m, False))
-eomonth = _with_fast("EOMONTH", lambda s, m: _moved(s, m, True))
+    return _moved(s, months, True, found), [_outside(s), (None, NUM)]
 
 
 @function("WEEKDAY", "n i=1", "number", once=True)
@@ -206,11 +176,24 @@ def _nth(w: Column, work: list[int]) -> Column:
     return 7 * down((w - 1) / len(work)) + F.get(F.lit(work), _pmod(w - 1, len(work)).cast("int"))
 
 
-def _holidays(given: object, work: list[int]) -> Column | None:
-    """Distinct whole serials on working days."""
+def _holidays(given: object, work: list[int]) -> tuple[Column | None, Column | None]:
+    """Distinct whole serials on working days, and the error of a value that is no date.
+
+    given is an array column, a list of values, or one value.
+    """
     if given is None or (isinstance(given, list) and not given):
-        return None
-    column = given if isinstance(given, Column) else F.lit([float(int(h)) for h in given])
+        return None, None
+    err = None
+    if isinstance(given, Column):
+        column = given
+    else:
+        vals = [num(h) for h in (given if isinstance(given, list) else [given])]
+        column = F.array(*[v.v for v in vals])
+        err = first_error(*[v.e for v in vals], F.when(F.exists(column, lambda h: (h < 0) | (h >= LAST + 1)), F.lit(NUM)))
+    return _on_working_days(column, work), err
+
+
+def _on_working_days(column: Column, work: list[int]) -> Column:
     return F.array_distinct(F.filter(F.transform(column, lambda h: down(h)), lambda h: F.array_contains(F.lit(work), F.pmod(h, F.lit(7)).cast("int"))))
 
 
@@ -219,7 +202,7 @@ def networkdays_intl(start: object, end: object, weekend: object = 1, holidays:
     work, bad = _mask(1 if weekend is None else weekend, False)
     if bad:
         return error(bad)
-    off = _holidays(holidays, work)
+    off, wrong = _holidays(holidays, work)
 
     def count(x: Column, y: Column) -> Column:
         low, high = F.least(x, y), F.greatest(x, y)
@@ -230,7 +213,7 @@ def networkdays_intl(start: object, end: object, weekend: object = 1, holidays:
         return F.when(good, n * F.when(x > y, -1).otherwise(1)).cast("double")
 
     found = bind([down(a.v), down(b.v)], count)
-    return guarded("number", found, first_error(a.e, b.e, F.when(found.isNull(), F.lit(NUM))))
+    return guarded("number", found, first_error(a.e, b.e, wrong, F.when(found.isNull(), F.lit(NUM))))
 
 
 def networkdays(start: object, end: object, holidays: object = None) -> Val:
@@ -242,7 +225,7 @@ def workday_intl(start: object, days: object, weekend: object = 1, holidays: obj
     work, bad = _mask(1 if weekend is None else weekend, True)
     if bad:
         return error(bad)
-    off = _holidays(holidays, work)
+    off, wrong = _holidays(holidays, work)
 
     def move(s: Column, d: Column) -> Column:
         after = lambda k: _nth(_through(s, work) + k, work)
@@ -259,7 +242,7 @@ def workday_intl(start: object, days: object, weekend: object = 1, holidays: obj
         return F.when((s >= 0) & (s <= LAST), _inside(found))
 
     found = bind([down(a.v), trunc0(n.v)], move)
-    return guarded("number", found, first_error(a.e, n.e, F.when(found.isNull(), F.lit(NUM))))
+    return guarded("number", found, first_error(a.e, n.e, wrong, F.when(found.isNull(), F.lit(NUM))))
 
 
 def workday(start: object, days: object, holidays: object = None) -> Val:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabulon.functions.values import DIV0, FUNCTIONS, NUM, VALUE, Val, bind, first_error, function, guarded, num
+from tabulon.functions.values import DIV0, FUNCTIONS, NUM, VALUE, Val, bind, down, error, first_error, function, guarded, num
 
 #: Iterations and tolerance of the rate solvers.
 STEPS, TOLERANCE = 20, 1e-7
@@ -17,10 +17,11 @@ HALVINGS = 100
 def _growth(rate: Column, n: Column) -> tuple[Column, Column, Column]:
     """(1 + rate)^n, that less 1, and whether it is out of range; small rates lose no digits."""
     log = n * F.log1p(F.when(rate > -1, rate))
-    exact = (n == F.floor(n)) & (F.abs(rate) >= 1e-5)
+    exact = (n == down(n)) & (F.abs(rate) >= 1e-5)
     power = F.pow(1 + rate, n)
     less = F.when(exact, power - 1).otherwise(F.expm1(log))
-    return F.when(exact, power).otherwise(1 + less), less, (F.abs(log) > 700) | ((rate <= -1) & (n != F.floor(n)))
+    whole = n == down(n)
+    return F.when(exact, power).otherwise(1 + less), less, (F.abs(log) > 700) | ((rate <= -1) & ~whole) | ((rate == -1) & (n <= 0))
 
 
 def _due(rate: Column, kind: Column) -> Column:
@@ -40,12 +41,12 @@ def _fv(rate, n, pmt, pv, kind) -> Column:
 @function("PMT", "n n n n=0 n=0", "number", finite=True, once=True)
 def pmt(rate, n, pv, fv, kind):
     found = _pmt(rate, n, pv, fv, kind)
-    return found, [((rate == 0) & (n == 0), DIV0), ((rate <= -1) | _growth(rate, n)[2] , NUM), (None, NUM)]
+    return found, [((rate == 0) & (n == 0), DIV0), (_growth(rate, n)[2], NUM), (None, NUM)]
 
 
 @function("FV", "n n n n=0 n=0", "number", finite=True, once=True)
 def fv(rate, n, pmt_, pv, kind):
-    return _fv(rate, n, pmt_, pv, kind), [(_growth(rate, n)[2], NUM)]
+    return _fv(rate, n, pmt_, pv, kind), [((rate != 0) & _growth(rate, n)[2], NUM)]
 
 
 @function("PV", "n n n n=0 n=0", "number", finite=True, once=True)
@@ -65,18 +66,18 @@ def nper(rate, pmt_, pv_, fv_, kind):
 def _ipmt(rate, per, n, pv_, fv_, kind) -> Column:
     pay = _pmt(rate, n, pv_, fv_, kind)
     owed = _fv(rate, per - 1, pay, pv_, kind) * rate
-    return F.when((kind != 0) & (per == 1), 0.0).when(kind != 0, F.try_divide(owed, 1 + rate)).otherwise(owed)
+    return F.when((kind != 0) & (per == 1), 0.0).when(per == 1, -pv_ * rate).when(kind != 0, F.try_divide(owed, 1 + rate)).otherwise(owed)
 
 
 @function("IPMT", "n n n n n=0 n=0", "number", finite=True, once=True)
 def ipmt(rate, per, n, pv_, fv_, kind):
-    return _ipmt(rate, per, n, pv_, fv_, kind), [((per < 1) | (per >= n + 1) | (rate <= -1), NUM)]
+    return _ipmt(rate, per, n, pv_, fv_, kind), [((per < 1) | (per >= n + 1) | (_growth(rate, n)[2] & (rate != 0) & ~((kind != 0) & (per == 1))), NUM), (None, NUM)]
 
 
 @function("PPMT", "n n n n n=0 n=0", "number", finite=True, once=True)
 def ppmt(rate, per, n, pv_, fv_, kind):
     found = _pmt(rate, n, pv_, fv_, kind) - _ipmt(rate, per, n, pv_, fv_, kind)
-    return found, [((per < 1) | (per >= n + 1) | (rate <= -1), NUM)]
+    return found, [((per < 1) | (per >= n + 1), NUM), (None, NUM)]
 
 
 def _interest(rate, n, pv_, start, end, kind) -> Column:
@@ -85,43 +86,46 @@ def _interest(rate, n, pv_, start, end, kind) -> Column:
     first = F.when(kind == 0, start).otherwise(F.greatest(start, F.lit(2.0)))
     count = F.greatest(end - first + 1, F.lit(0.0))
     before = F.when(kind == 0, first - 1).otherwise(first - 2)
-    total = F.pow(1 + rate, before) * (F.pow(1 + rate, count) - 1) / rate
+    total = _growth(rate, before)[0] * _growth(rate, count)[1] / rate
     grown = F.when(kind == 0, total).otherwise(total * (1 + rate))
     # an even payment less what is repaid, period by period
-    return F.when(count == 0, 0.0).otherwise(pay * (count - grown) - total * pv_ * rate)
+    return F.when(count == 0, 0.0).when((kind == 0) & (end == 1), -pv_ * rate).otherwise(pay * (count - grown) - total * pv_ * rate)
 
 
 def _cumulative_bad(rate, n, pv_, start, end, kind) -> Column:
     return (rate <= 0) | (n <= 0) | (pv_ <= 0) | (start < 1) | (end < start) | (end > n) | ((kind != 0) & (kind != 1))
 
 
-@function("CUMIPMT", "n i n i i n", "number", finite=True, once=True)
+@function("CUMIPMT", "n i n i i i", "number", finite=True, once=True)
 def cumipmt(rate, n, pv_, start, end, kind):
     bad = _cumulative_bad(rate, n, pv_, start, end, kind)
     return F.when(~bad, _interest(rate, n, pv_, start, end, kind)), [(bad, NUM)]
 
 
-@function("CUMPRINC", "n n n i i n", "number", finite=True, once=True)
+@function("CUMPRINC", "n n n i i i", "number", finite=True, once=True)
 def cumprinc(rate, n, pv_, start, end, kind):
     bad = _cumulative_bad(rate, n, pv_, start, end, kind)
-    paid = _pmt(rate, n, pv_, F.lit(0.0), kind) * (end - start + 1)
-    return F.when(~bad, paid - _interest(rate, n, pv_, start, end, kind)), [(bad, NUM)]
+    pay = _pmt(rate, n, pv_, F.lit(0.0), kind)
+    fallen = _fv(rate, start - 1, pay, pv_, F.lit(0.0)) - _fv(rate, end, pay, pv_, F.lit(0.0))
+    return F.when(~bad, F.when(kind == 0, fallen).otherwise(pay * (end - start + 1) - _interest(rate, n, pv_, start, end, kind))), [(bad, NUM)]
 
 
 @function("EFFECT", "n i", "number", finite=True, once=True)
 def effect(nominal_, n):
-    return F.when(n == 1, nominal_).otherwise(F.expm1(n * F.log1p(F.when(n >= 1, nominal_ / n)))), [((nominal_ <= 0) | (n < 1), NUM)]
+    return F.when(n == 1, nominal_).otherwise(_growth(F.when(n >= 1, nominal_ / n), n)[1]), [((nominal_ <= 0) | (n < 1), NUM)]
 
 
 @function("NOMINAL", "n i", "number", finite=True, once=True)
 def nominal(effective, n):
-    return F.when(n == 1, effective).otherwise(n * F.expm1(F.try_divide(F.log1p(F.when(effective > -1, effective)), n))), [((effective <= 0) | (n < 1), NUM)]
+    return F.when(n == 1, effective).when(n == 2, 2 * effective / (F.sqrt(F.when(effective > -1, 1 + effective)) + 1)).otherwise(n * F.expm1(F.try_divide(F.log1p(F.when(effective > -1, effective)), n))), [((effective <= 0) | (n < 1), NUM)]
 
 
 @function("PDURATION", "n n n", "number", finite=True, once=True)
 def pduration(rate, pv_, fv_):
     bad = (rate <= 0) | (pv_ <= 0) | (fv_ <= 0)
-    return F.when(~bad, (F.ln(fv_ / pv_)) / F.log1p(rate)), [(bad, NUM)]
+    ratio = fv_ / pv_
+    log = F.when((ratio > 0.5) & (ratio < 2), F.log1p((fv_ - pv_) / pv_)).otherwise(F.ln(ratio))
+    return F.when(~bad, log / F.log1p(rate)), [(bad, NUM)]
 
 
 @function("RRI", "n n n", "number", finite=True, once=True)
@@ -200,20 +204,34 @@ def npv(rate_: object, *flows: object) -> Val:
     r = num(rate_)
     if len(flows) == 1 and isinstance(flows[0], Column):
         return guarded("number", F.when(r.v != -1, npv_of(r.v, flows[0])), first_error(r.e, F.when(r.v == -1, F.lit(DIV0))))
+    if not flows:
+        return error(VALUE)
     vals = [num(f) for f in flows]
     return guarded("number", F.when(r.v != -1, npv_of(r.v, F.array(*[v.v for v in vals]))), first_error(r.e, *[v.e for v in vals], F.when(r.v == -1, F.lit(DIV0))))
 
 
-def irr(flows: Column, guess: object = 0.1) -> Val:
+def _flow_array(flows: object) -> tuple[Column, Column | None]:
+    """An array of flows as it is; one value as an array, with its error."""
+    if isinstance(flows, Column):
+        return flows, None
+    one = num(flows)
+    return F.array(one.v), one.e
+
+
+def irr(flows: object, guess: object = 0.1) -> Val:
     """Rate at which an array of flows is worth nothing; it needs both signs."""
+    flows, err = _flow_array(flows)
     kept = F.array_compact(flows)
     mixed = F.exists(kept, lambda v: v > 0) & F.exists(kept, lambda v: v < 0)
     worth = lambda r: F.aggregate(F.reverse(kept), F.lit(0.0), lambda a, v: a / (1 + r) + v)
-    found = F.when(mixed, _solve(worth, num(guess).v))
-    return guarded("number", found, F.when(found.isNull(), F.lit(NUM)))
+    g = num(guess)
+    found = F.when(mixed, _solve(worth, g.v))
+    return guarded("number", found, first_error(err, g.e, F.when(found.isNull(), F.lit(NUM))))
 
 
-def mirr(flows: Column, finance: object, reinvest: object) -> Val:
+def mirr(flows: object, finance: object, reinvest: object) -> Val:
+    flows, err = _flow_array(flows)
+    err = first_error(err, num(finance).e, num(reinvest).e)
     f, r = num(finance).v, num(reinvest).v
     kept = F.array_compact(flows)
     n = F.size(kept)
@@ -221,7 +239,7 @@ def mirr(flows: Column, finance: object, reinvest: object) -> Val:
     up, down = npv_of(r, gains), npv_of(f, losses)
     bad = (n < 2) | ~F.exists(kept, lambda v: v > 0) | ~F.exists(kept, lambda v: v < 0)
     found = F.pow(F.try_divide(-up * F.pow(1 + r, n), down * (1 + f)), F.try_divide(F.lit(1.0), n - 1)) - 1
-    return guarded("number", found, F.when(bad, F.lit(DIV0)))
+    return guarded("number", found, first_error(err, F.when(bad, F.lit(DIV0))))
 
 
 def _dated(r: Column, flows: Column) -> Column:

@@ -170,6 +170,8 @@ def switch(key: object, *rest: object) -> Val:
 
 
 def _logicals(args: tuple, fold_, empty: bool) -> Val:
+    if not args:
+        return error(VALUE)
     vals = [as_val(a) for a in args]
     errors = first_error(*[e for v in vals for e in (v.e, F.when(v.v.isNotNull(), F.lit(VALUE)) if v.kind == "text" else None)])
     known = F.array(*[F.when(v.v.isNotNull(), truth(v).v) for v in vals if v.kind != "text"])

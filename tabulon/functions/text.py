@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -236,10 +237,18 @@ def _lengths(parts: Column, n: Column) -> Column:
     return F.aggregate(F.slice(parts, F.lit(1), F.greatest(n, F.lit(0))), F.lit(0), lambda a, x: a + F.length(x))
 
 
+def cell_text(n: float) -> str:
+    """A number that is written out, as text."""
+    return str(int(n)) if n == int(n) and abs(n) < 1e15 else format(Decimal(repr(n)), "f")
+
+
 def _around(t: object, delimiter: object, instance: object, any_case: bool, at_end: bool, otherwise: object, after: bool) -> Val:
     a, i = txt(t), num(instance)
     k = as_int(trunc0(i.v))
-    given = [delimiter] if isinstance(delimiter, str) else list(delimiter)
+    if isinstance(delimiter, Val):
+        return _around_column(a, txt(delimiter), k, i.e, bool(any_case), at_end, otherwise, after)
+    given = list(delimiter) if isinstance(delimiter, list | tuple) else [delimiter]
+    given = [d if isinstance(d, str) else cell_text(float(d)) for d in given]
     given = sorted(given, key=lambda d: -len(d)) if not after else given
     useful = [d for d in given if d]
     bad = (k == 0) | (F.abs(k) > F.length(a.v))
@@ -268,6 +277,33 @@ def _around(t: object, delimiter: object, instance: object, any_case: bool, at_e
     return guarded("text", F.when(miss, other.v).otherwise(value), first_error(err, None if other.e is None else F.when(miss, other.e)))
 
 
+def _around_column(a: Val, d: Val, k: Column, other_error: Column | None, any_case: bool, at_end: bool, otherwise: object, after: bool) -> Val:
+    """Text around the k-th hit of a delimiter that is a column; an empty one matches at once."""
+    regex = F.concat(F.lit("(?iu)(" if any_case else "("), _quote(d.v), F.lit(")"))
+    parts, count = F.split(a.v, regex, -1), F.size(F.split(a.v, regex, -1)) - 1
+    place = F.when(k > 0, k).otherwise(count + k + 1)
+    seps = F.regexp_extract_all(a.v, regex, F.lit(1))
+    begin = _lengths(parts, place) + _lengths(seps, place - 1)
+    stop = begin + F.length(F.coalesce(F.get(seps, place - 1), F.lit("")))
+    value = F.substring(a.v, stop + 1, F.length(a.v)) if after else F.substring(a.v, F.lit(1), begin)
+    empty = d.v == ""
+    value = F.when(empty, F.when(k > 0, a.v if after else F.lit("")).otherwise(F.lit("") if after else a.v)).otherwise(value)
+    miss = ~empty & ((place < 1) | (place > count))
+    if at_end:
+        edge = F.when(k > 0, place == count + 1).otherwise(place == 0)
+        value = F.when(~empty & edge, F.when(k > 0, F.lit("") if after else a.v).otherwise(a.v if after else F.lit(""))).otherwise(value)
+        miss = miss & ~edge
+    bad = (k == 0) | (F.abs(k) > F.length(a.v))
+    if not after:
+        bad, miss = (bad & (a.v != "")) | (k == 0), miss & (a.v != "")
+        value = F.when(a.v == "", "").otherwise(value)
+    err = first_error(a.e, d.e, other_error, F.when(bad, F.lit(VALUE)))
+    if otherwise is None:
+        return guarded("text", value, first_error(err, F.when(miss, F.lit(NA))))
+    other = txt(otherwise)
+    return guarded("text", F.when(miss, other.v).otherwise(value), first_error(err, None if other.e is None else F.when(miss, other.e)))
+
+
 def textafter(t: object, delimiter: object, instance: object = 1.0, match_mode: object = 0, match_end: object = 0, if_not_found: object = None) -> Val:
     return _around(t, delimiter, instance, bool(match_mode), bool(match_end), if_not_found, True)
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 NULL, DIV0, VALUE, REF, NAME, NUM, NA, CALC = "#NULL!", "#DIV/0!", "#VALUE!", "#REF!", "#NAME?", "#NUM!", "#N/A", "#CALC!"
@@ -19,16 +19,33 @@ NULL, DIV0, VALUE, REF, NAME, NUM, NA, CALC = "#NULL!", "#DIV/0!", "#VALUE!", "#
 #: Text that counts as a number: an optional sign, digits with a point, an exponent.
 NUMERIC = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TYPES = {"number": "double", "text": "string", "bool": "boolean", "blank": "double"}
+
+
+#: Values of more weight than this are bound once where a formula uses them.
+HEAVY = 8
 
 
 @dataclass(frozen=True)
 class Val:
-    """kind: number, text, bool or blank; v: the value; e: the error code, or None for never."""
+    """kind: number, text, bool or blank; v: the value; e: the error code, or None for never.
+
+    s is the struct that v and e are fields of, if there is one; w tells about how large the
+    expression is.
+    """
 
     kind: str
     v: Column
     e: Column | None = None
+    s: Column | None = None
+    w: int = 1
+
+    def packed(self) -> Column:
+        """Value and error as one struct."""
+        return F.struct(self.v.alias("v"), self.error("e")) if self.s is None else self.s
+
+    def unpacked(self, t: Column) -> Val:
+        """This value where its struct is bound to t."""
+        return Val(self.kind, t["v"], None if self.e is None else t["e"])
 
     def column(self, name: str = "value") -> Column:
         return self.v.alias(name)
@@ -123,7 +140,7 @@ def plain(v: Column) -> Column:
     moved = F.when(F.length(digits) <= power + 1, F.rpad(digits, power + 1, F.lit("0"))).otherwise(F.concat(F.left(digits, power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
     expanded = F.concat(F.when(v < 0, "-").otherwise(""), F.when(power < 0, fraction).otherwise(moved))
     small = F.abs(v) < 1e15
-    return F.when(small & (v == F.floor(v)), F.when(small, v).cast("bigint").cast("string")).when(~shortest.contains("E"), shortest).otherwise(expanded)
+    return F.when(shortest == "-0.0", "-0").when(small & (v == F.floor(v)), F.when(small, v).cast("bigint").cast("string")).when(~shortest.contains("E"), shortest).otherwise(expanded)
 
 
 def txt(x: object) -> Val:
@@ -164,6 +181,45 @@ def bind(columns: list[Column], body: Callable[..., Column]) -> Column:
     return F.element_at(F.transform(held, lambda t: body(*[t[f"_{k}"] for k in range(len(columns))])), 1)
 
 
+def roomy(spark: SparkSession) -> None:
+    """Let the analyzer take as many rounds as formulas of nested calls need; it stops when it is done."""
+    key = "spark.sql.analyzer.maxIterations"
+    if int(spark.conf.get(key)) < 2000:
+        spark.conf.set(key, "2000")
+
+
+def with_bound(vals: list[object], body: Callable[[list[object]], object]) -> object:
+    """body(vals) with every heavy value computed once a row.
+
+    The result is body's own where nothing is heavy, or where it is no value (a function).
+    """
+    heavy = [k for k, x in enumerate(vals) if isinstance(x, Val) and x.w > HEAVY]
+    if not heavy:
+        return body(vals)
+    kept: list[object] = []
+
+    def inside(*t: Column) -> Column:
+        light = list(vals)
+        for k, c in zip(heavy, t, strict=True):
+            light[k] = vals[k].unpacked(c)
+        found = body(light)
+        kept[:] = [found]
+        return as_val(found).packed() if isinstance(found, Val | bool | int | float | str) or found is None else F.lit(None)
+
+    made = bind([vals[k].packed() for k in heavy], inside)
+    found = kept[0]
+    if not isinstance(found, Val):
+        return found if isinstance(found, bool | int | float | str) or found is None else body(vals)
+    return Val(found.kind, made["v"], None if found.e is None else made["e"], made, HEAVY + 1)
+
+
+def weighed(x: object, *parts: object) -> object:
+    """A value made of parts, with their weight."""
+    if not isinstance(x, Val) or x.w > HEAVY:
+        return x
+    return replace(x, w=1 + sum(p.w for p in parts if isinstance(p, Val)))
+
+
 def trunc0(v: Column) -> Column:
     """Toward zero."""
     return F.when(v < 0, up(v)).otherwise(down(v))
@@ -210,14 +266,14 @@ def function(name: str, params: str, kind: str, *, finite: bool = False, once: b
             if not least <= len(args) <= len(specs):
                 return error(VALUE)
             given = [*args, *[_default(p) for p in specs[len(args) :]]]
-            vals = [_coerce(p[0], x) for p, x in zip(specs, given, strict=True)]
-            err = first_error(*[x.e for x in vals])
             if once:
+                raw = [as_val(x) for x in given]
 
                 def checked(*columns: Column) -> Column:
+                    *columns, err = columns if fails else (*columns, None)
                     out = body(*columns)
                     value, checks = out if isinstance(out, tuple) else (out, [])
-                    before = first_error(*[F.when(condition, F.lit(code)) for condition, code in checks if condition is not None])
+                    before = first_error(err, *[F.when(condition, F.lit(code)) for condition, code in checks if condition is not None])
                     empty = [code for condition, code in checks if condition is None]
 
                     def judged(v: Column) -> Column:
@@ -229,11 +285,22 @@ def function(name: str, params: str, kind: str, *, finite: bool = False, once: b
 
                     return bind([value if before is None else F.when(before.isNull(), value)], judged)
 
-                made = bind([x.v for x in vals], checked)
-                return guarded(kind, made["v"], first_error(err, made["e"]))
-            else:
-                out = body(*[x if p[0] == "v" else x.v for p, x in zip(specs, vals, strict=True)])
-                value, checks = out if isinstance(out, tuple) else (out, [])
+                def coerced(*t: Column) -> Column:
+                    vals = [_coerce(p[0], x.unpacked(c)) for p, x, c in zip(specs, raw, t, strict=True)]
+                    err = first_error(*[x.e for x in vals])
+                    fails.extend([] if err is None else [True])
+                    columns = [*[x.v for x in vals], *([] if err is None else [err])]
+                    plain_ = all(x.kind in ("number", "blank", "bool") and p[0] in "nib" for p, x in zip(specs, raw, strict=True))
+                    return checked(*columns) if plain_ else bind(columns, checked)  # text takes some work to be a number
+
+                # an argument's own struct is bound, so that nested calls do not repeat it
+                fails: list[bool] = []
+                made = bind([x.packed() for x in raw], coerced)
+                return Val(kind, made["v"], made["e"], made, HEAVY + 1)
+            vals = [_coerce(p[0], x) for p, x in zip(specs, given, strict=True)]
+            err = first_error(*[x.e for x in vals])
+            out = body(*[x if p[0] == "v" else x.v for p, x in zip(specs, vals, strict=True)])
+            value, checks = out if isinstance(out, tuple) else (out, [])
             for condition, code in checks:
                 err = first_error(err, F.when(condition, F.lit(code)))
             if finite:

@@ -8,6 +8,7 @@ plan is built; names are case-insensitive; an unknown function is #NAME?.
 from __future__ import annotations
 
 import inspect
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ import tabulon.functions.finance  # noqa: F401
 import tabulon.functions.logic as L
 import tabulon.functions.math as X
 import tabulon.functions.text  # noqa: F401
-from tabulon.functions.values import CALC, FUNCTIONS, NAME, REF, VALUE, Val, as_val, error, num
+from tabulon.functions.values import CALC, FUNCTIONS, NAME, REF, VALUE, Val, as_val, error, num, roomy, weighed, with_bound
 from tabulon.plans.parser import FormulaError, Node, column_letters, parse
 
 @dataclass
@@ -59,11 +60,11 @@ def lower(node: Node, scope: dict[str, object]) -> object:
         return error(REF)
     if node.kind == "sign":
         inner = lower_value(node.parts[0], scope)
-        return L.negate(inner) if node.value == "-" else num(inner)
+        return called(L.negate if node.value == "-" else num, [inner])
     if node.kind == "percent":
-        return L.percent(lower_value(node.parts[0], scope))
+        return called(L.percent, [lower_value(node.parts[0], scope)])
     if node.kind == "binary":
-        return _BINARY[str(node.value)](*[lower_value(p, scope) for p in node.parts])
+        return called(_BINARY[str(node.value)], [lower_value(p, scope) for p in node.parts])
     if node.kind == "apply":
         return _apply(lower(node.parts[0], scope), node.parts[1:], scope)
     return _call(str(node.value), node.parts, scope)
@@ -80,7 +81,7 @@ def _apply(function: object, args: list[Node], scope: dict[str, object]) -> obje
         return error(VALUE)
     given = [_OMITTED if a.kind == "missing" else lower(a, scope) for a in args]
     given += [_OMITTED] * (len(function.names) - len(given))
-    return lower(function.body, function.scope | dict(zip(function.names, given, strict=True)))
+    return with_bound(given, lambda light: lower(function.body, function.scope | dict(zip(function.names, light, strict=True))))
 
 
 def _call(name: str, args: list[Node], scope: dict[str, object]) -> object:
@@ -91,14 +92,11 @@ def _call(name: str, args: list[Node], scope: dict[str, object]) -> object:
     if name == "LET":
         if len(args) % 2 == 0 or len(args) < 3:
             return error(VALUE)
-        inner = dict(scope)
-        for key, value in zip(args[:-1:2], args[1::2], strict=True):
-            if key.kind != "name":
-                return error(NAME)
-            inner[str(key.value).lower()] = lower(value, inner)
-        return lower(args[-1], inner)
+        return _let(args, scope)
     if name == "ISOMITTED":
-        return len(args) == 1 and args[0].kind == "name" and scope.get(str(args[0].value).lower()) is _OMITTED
+        if len(args) != 1:
+            return error(VALUE)
+        return args[0].kind == "name" and scope.get(str(args[0].value).lower()) is _OMITTED
     asked = scope.get(CALLS)
     if asked is not None and (got := asked(name, args, scope)) is not NotImplemented:
         return got
@@ -111,7 +109,21 @@ def _call(name: str, args: list[Node], scope: dict[str, object]) -> object:
         inspect.signature(FUNCTIONS[name]).bind(*args)
     except TypeError:  # too few or too many arguments
         return error(VALUE)
-    return FUNCTIONS[name](*[lower_value(a, scope) for a in args])
+    return called(FUNCTIONS[name], [lower_value(a, scope) for a in args])
+
+
+def _let(args: list[Node], scope: dict[str, object]) -> object:
+    """The first name bound, then the rest."""
+    if len(args) == 1:
+        return lower(args[0], scope)
+    if args[0].kind != "name" or str(args[0].value).lower() in ("r", "c", "true", "false"):  # names that formulas reserve
+        return error(NAME)
+    return with_bound([lower(args[1], scope)], lambda light: _let(args[2:], scope | {str(args[0].value).lower(): light[0]}))
+
+
+def called(function: Callable[..., object], args: list[object]) -> object:
+    """A function of values; arguments of some weight are computed once, however often it uses them."""
+    return with_bound(args, lambda light: weighed(function(*light), *light))
 
 
 __all__ = ["FormulaError", "compile_formula", "with_formula"]
@@ -125,5 +137,6 @@ def compile_formula(text: str, names: dict[str, Val] | None = None) -> Val:
 
 def with_formula(frame: DataFrame, out: str, text: str, names: dict[str, Val]) -> DataFrame:
     """The frame with the formula's value and error as columns ``out`` and ``out_error``."""
+    roomy(frame.sparkSession)
     made = compile_formula(text, names)
     return frame.withColumns({out: made.v, f"{out}_error": made.error()})

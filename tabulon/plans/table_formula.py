@@ -23,7 +23,7 @@ import tabulon.operators.criteria as C
 import tabulon.operators.lambdas as B
 import tabulon.operators.lookup as K
 import tabulon.operators.reshape as R
-from tabulon.functions.values import DIV0, VALUE, Val, as_val, boolean, first_error, number, serial, text
+from tabulon.functions.values import DIV0, VALUE, Val, as_val, boolean, first_error, number, roomy, serial, text
 from tabulon.operators.ordering import with_ord
 from tabulon.plans.formula import CALLS, Lambda, lower, lower_value
 from tabulon.plans.parser import FormulaError, Node, parse
@@ -637,6 +637,7 @@ ROWS: dict[str, Callable[[Compiler, list[Node]], DataFrame]] = {"REDUCE": _reduc
 def table_formula(tables: dict[str, DataFrame], formula: str) -> DataFrame:
     """The result of a formula over tables; an error that its arguments alone make is one row with its code."""
     compiler = Compiler(tables)
+    roomy(compiler.spark)
     try:
         return compiler.run(formula)
     except R.CellError as bad:

@@ -1 +1 @@
-"""Readers and writers: workbooks, case files, verdict reports."""
+"""Sources: case files and the workbooks in them (``cases``). Tables are read by ``spark.read``."""

@@ -1 +1 @@
-"""Structured Streaming forms of the criteria aggregates."""
+"""Criteria aggregates and formulas over streams of rows."""

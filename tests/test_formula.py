@@ -28,6 +28,17 @@ def test_formulas(spark):
             assert err is None and value == want, (formula, value, err)
 
 
+def test_column_delimiters_and_holidays(spark):
+    rows = spark.createDataFrame([("a-b-c", "-", 2.0, 41183.0), ("a+b", "+", -1.0, 1.0), ("", "x", 1.0, 5.0), ("ab", "", 1.0, 9.0), ("a.b", "z", 1.0, 3.0)], "t string, d string, k double, s double")
+    names = {"t": text("t"), "d": text("d"), "k": number("k"), "s": number("s")}
+    pick = lambda f: [r["r"] if r["r_error"] is None else r["r_error"] for r in with_formula(rows, "r", f, names).collect()]
+    assert pick("=TEXTAFTER(t,d,k)") == ["c", "b", "#VALUE!", "ab", "#N/A"]
+    assert pick("=TEXTBEFORE(t,d,k)") == ["a-b", "a", "", "", "#N/A"]
+    assert pick("=TEXTAFTER(t,d,k,0,1,9)") == ["c", "b", "#VALUE!", "ab", ""]
+    assert pick("=NETWORKDAYS(s,s+6,s)") == [4.0, 5.0, 4.0, 4.0, 4.0]
+    assert pick("=NETWORKDAYS(s,s+6,t)") == ["#VALUE!"] * 5
+
+
 def test_formula_over_a_table(spark):
     rows = spark.createDataFrame([(10.0, 4.0, "a"), (1.0, 0.0, None)], "p double, q double, t string")
     got = with_formula(rows, "r", '=IF(q=0,"none: "&t,p/q)', {"p": number("p"), "q": number("q"), "t": text("t")}).collect()
@@ -38,3 +49,15 @@ def test_bad_text():
     for bad in ("=1+", "=(1", "=1 2", "=SUM(1;2)"):
         with pytest.raises(FormulaError):
             compile_formula(bad)
+
+
+def test_plans_stay_linear(spark):
+    """Nested calls and LET do not repeat their arguments."""
+    deep = "2011"
+    for _ in range(3):
+        deep = f"YEAR(EDATE(DATE({deep},1,15),12))"
+    names = ["v" + c for c in "abcdefghijklmnop"]
+    chain = "=LET(va,ROUND(q,1)," + "".join(f"{b},IF({a}>0,{a}+{a},{a}*{a})," for a, b in zip(names, names[1:], strict=False)) + names[-1] + ")"
+    got = spark.range(1).selectExpr("1.0D AS q")
+    assert with_formula(got, "r", "=" + deep, {}).first()["r"] == 2014.0
+    assert with_formula(got, "r", chain, {"q": number("q")}).first()["r"] == 2.0**15
