@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tabulon.operators.ordering import shared_folder
 
-#: Rows of one Arrow batch. Documents can be long, so a batch is kept to a few hundred of them.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch at most, unless one row alone has more: documents can be long.
+BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
 
 #: The blanks that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -23,10 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS, so that a batch of long texts fits a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batch sizes, so that a batch of long texts fits a worker.
+
+    A plan takes them up when it is run, which is after the operator has returned: they stay lowered.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +49,23 @@ def materialise(frame: DataFrame, label: str, *, codec: str = "zstd") -> DataFra
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     frame.write.option("compression", codec).parquet(path)
+    _MADE.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Tables that this process has written.
+_MADE: list[str] = []
+
+
+def remove_intermediates(spark: SparkSession) -> int:
+    """Delete the tables that ``materialise`` has written so far; results that read them have to be done."""
+    made = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        made += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return made
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once a row, however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

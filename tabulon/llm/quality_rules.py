@@ -6,7 +6,7 @@ conjunction of thresholds that is grown by information gain on two thirds of the
 rows and pruned on the rest. ``verdict`` turns the ordered rules into a CASE expression.
 
 Defined results: a null text counts as empty; texts with no word fail the base check; rows
-with equal ids are judged one by one; labels that are null, or name no document, are left
+with equal ids are judged one by one, and teach as one; labels that are null, or name no document, are left
 out; with no usable labels the list is empty and the base check alone decides. Other columns
 of the inputs, whatever their names, play no part.
 """
@@ -26,8 +26,21 @@ MAX_LABELLED = 8192
 #: What a rule may look at.
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "bang_share")
 
+#: The verdict is learned, which SQL can't express; ``base_counts`` has SQL.
 ORACLE_SQL = None
 
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM s)),
+m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g) WHERE n > 1),
+k AS (SELECT r, count(DISTINCT i + j) AS n FROM m, (VALUES (0), (1), (2)) v(j) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+       (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(k.n, 0)::BIGINT AS n_repeat_words,
+       len(w) < 50 OR 100 * coalesce(k.n, 0) > 50 * len(w) AS base_failed
+FROM s LEFT JOIN k USING (r)
+"""
+
 
 def _repeated_positions(grams: Column) -> Column:
     """Sorted start positions of the windows whose hash occurs twice or more."""
@@ -195,7 +208,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     picked = known.groupBy("doc_id").agg(F.min("quality").alias("_quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = text_statistics(joined, "doc_id", "_quality").select("doc_id", "_quality", *FEATURES).collect()
+    stats = text_statistics(joined, "doc_id", "_quality").groupBy("doc_id", "_quality")
+    # rows that share a labelled id count once, by the least statistics
+    rows = stats.agg(F.min(F.struct(*FEATURES)).alias("_f")).select("doc_id", "_quality", "_f.*").collect()
     if not rows:
         return []
     rows.sort(key=lambda r: tuple(r))
@@ -222,6 +237,12 @@ def judge(docs: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
     return stats.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(rules)))
 
 
+def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base check of every document, without the learned rules."""
+    judged = judge(table(spark, sf_dir, "documents"), [], "doc_id")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = learn(docs, table(spark, sf_dir, "labels"))

@@ -27,8 +27,8 @@ def _module(name: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _module(name).query for name in MODULES}
+    return {name: _module(name).query for name in MODULES} | {"quality_base_counts": _module("op1_quality_rules").base_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name in MODULES if (sql := _module(name).ORACLE_SQL)}
+    return {name: sql for name in MODULES if (sql := _module(name).ORACLE_SQL)} | {"quality_base_counts": _module("op1_quality_rules").BASE_SQL}
