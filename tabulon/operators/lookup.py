@@ -68,11 +68,15 @@ def lookup_nearest(
 def lookup_wildcard(frame: DataFrame, key: str, table: DataFrame, table_key: str, returns: str, table_ord: str, *, out: str = "found", last: bool = False) -> DataFrame:
     """XLOOKUP mode 2 and exact look-ups of texts with * ? ~: the first (or last) row that a pattern matches.
 
-    Patterns of equal text are looked up once, in one pass over the table: the patterns are what
-    a formula's author writes, so their distinct number is small; its product with the table is
-    streamed, and only the best row of each pattern is kept.
+    Keys without such a mark are plain ones, and meet the table in an exact look-up. Patterns
+    have no key to meet by: each distinct one is held against each row of the table, and only its
+    best row is kept. They are what a formula's author writes, so there are few of them; whether they
+    are broadcast is left to Spark's measure of their size.
     """
-    patterns = frame.where(F.col(key).isNotNull()).select(F.col(key).alias("_p")).distinct()
+    marked = F.col(key).rlike(r"[*?~]")
+    plain = lookup_exact(frame.where(~F.coalesce(marked, F.lit(False))), key, table, table_key, returns, table_ord, out=out, last=last)
+    frame = frame.where(marked)
+    patterns = frame.select(F.col(key).alias("_p")).distinct()
     escaped = F.regexp_replace("_p", r"([\\.\[\]{}()+\-^$|])", r"\\$1")
     held = F.replace(F.replace(F.replace(escaped, F.lit("~~"), F.lit("\x01")), F.lit("~*"), F.lit("\x02")), F.lit("~?"), F.lit("\x03"))
     wild = F.replace(F.replace(held, F.lit("?"), F.lit(".")), F.lit("*"), F.lit(".*"))
@@ -81,7 +85,8 @@ def lookup_wildcard(frame: DataFrame, key: str, table: DataFrame, table_key: str
     rows = table.where(F.col(table_key).isNotNull()).select(F.col(table_key).alias("_t"), F.struct(F.col(returns).alias("v")).alias("_v"), F.col(table_ord).alias("_o"))
     hits = rows.join(patterns.withColumn("_r", regex), F.rlike("_t", F.col("_r"))).groupBy("_p").agg(pick("_v", "_o").alias("_got"))
     joined = frame.join(hits, F.col(key) == F.col("_p"), "left")
-    return joined.withColumn(out, F.col("_got.v")).withColumn("error", F.when(F.col("_got").isNull(), F.lit(NA))).drop("_p", "_got")
+    wild_ = joined.withColumn(out, F.col("_got.v")).withColumn("error", F.when(F.col("_got").isNull(), F.lit(NA))).drop("_p", "_got")
+    return wild_.unionByName(plain)
 
 
 def match_wildcard(table: DataFrame, column: str, pattern: str, table_ord: str) -> DataFrame:

@@ -124,3 +124,39 @@ def test_cash_flow_rates_against_bisection(spark):
         assert r["irr"] == pytest.approx(bisection([(v, k) for k, (v, _) in enumerate(flows)]), abs=1e-7)
     same_day = spark.createDataFrame([([(-1.0, 0.0), (2.0, 0.0)],)], "flows array<struct<value: double, date: double>>")
     assert same_day.select(M.xirr(F.col("flows")).v.alias("v")).first()["v"] is None
+
+
+def test_wildcard_lookup_of_mixed_keys(spark):
+    table = spark.createDataFrame([(1, "ab"), (2, "AC"), (3, "b*"), (4, "ab")], "at int, t string")
+    keys = spark.createDataFrame([("a?",), ("AB",), ("b~*",), ("zz",), (None,), ("*c",)], "k string")
+    for last, want in ((False, {"a?": 1, "AB": 1, "b~*": 3, "zz": None, None: None, "*c": 2}), (True, {"a?": 4, "AB": 4, "b~*": 3, "zz": None, None: None, "*c": 2})):
+        got = lookup.lookup_wildcard(keys, "k", table, "t", "at", "at", last=last).collect()
+        assert {r["k"]: r["found"] for r in got} == want and all((r["error"] == "#N/A") == (r["found"] is None) for r in got)
+
+
+def test_nearest_lookup_ties_and_types(spark):
+    table = spark.createDataFrame([(1, 2**60 + 1), (2, 2**60 + 3), (3, 2**60 + 3), (4, None)], "at int, t bigint")
+    keys = spark.createDataFrame([(2**60,), (2**60 + 1,), (2**60 + 2,), (2**60 + 9,), (None,)], "k bigint")
+    near = lambda **o: {r["k"]: r["found"] for r in lookup.lookup_nearest(keys, "k", table, "t", "at", "at", **o).collect()}
+    assert near() == {2**60: None, 2**60 + 1: 1, 2**60 + 2: 1, 2**60 + 9: 3, None: None}
+    assert near(larger=True, exact_first=True) == {2**60: 1, 2**60 + 1: 1, 2**60 + 2: 2, 2**60 + 9: None, None: None}
+    none = lookup.lookup_nearest(keys, "k", table.where("false"), "t", "at", "at").collect()
+    assert all(r["found"] is None and r["error"] == "#N/A" for r in none)
+
+
+def test_scan_without_groups(spark):
+    from pyspark.sql import functions as F
+
+    from tabulon.operators.lambdas import scan
+
+    rows = spark.range(500).selectExpr("id", "CASE WHEN id % 5 <> 0 THEN CAST(id % 11 AS DOUBLE) END AS x").repartition(9)
+    total, high = 0.0, None
+    want = {}
+    for k in range(500):
+        if k % 5:
+            total += k % 11
+            high = max(high or 0, k % 11)
+        want[k] = (total if k else None, high)
+    for how, at in (("+", 0), ("max", 1)):
+        got = {r["id"]: r["running"] for r in scan(rows, "x", how, [], ["id"]).select("id", F.col("running")).collect()}
+        assert got == {k: v[at] for k, v in want.items()}
