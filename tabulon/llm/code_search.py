@@ -28,7 +28,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import materialise, table
+from tabulon.llm.common import let, materialise, table
 
 #: Bits of a word of a code.
 WORD = 64
@@ -83,9 +83,15 @@ def _flips(bits: int, radius: int) -> list[int]:
     return [sum(1 << b for b in chosen) for chosen in combinations(range(bits), radius)]
 
 
+def _least(found: Column, k: int) -> Column:
+    """The k least entries."""
+    return F.slice(F.sort_array(found), 1, k)
+
+
 def _best(found: Column, k: int) -> Column:
-    """The k least entries, each once."""
-    return F.slice(F.sort_array(F.array_distinct(found)), 1, k)
+    """The k least entries, each once: sorted, equal ones lie side by side."""
+    once = lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1)))
+    return let(F.sort_array(found), lambda s: F.slice(once(s), 1, k))
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -124,7 +130,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         met = probes.join(buckets, ["segment", "value"])
         distance = lambda x: sum((F.bit_count(F.col("query")[w].bitwiseXOR(x["code"][w])) for w in range(words)), F.lit(0)).cast("int")
         near = F.transform("held", lambda x: F.struct(distance(x).alias("distance"), x["first"].alias("first"), x["code"].alias("code"), x["n"].alias("n")))
-        found = met.select("query", _best(near, k).alias("best")).union(open_.select("query", "best"))
+        # a code is in a bucket once, so only buckets' results can repeat it
+        found = met.select("query", _least(near, k).alias("best")).union(open_.select("query", "best"))
         best = found.groupBy("query").agg(_best(F.flatten(F.collect_list("best")), k).alias("best"))
         bound = m * (radius + 1) - 1
         rows_within = F.aggregate(F.filter("best", lambda x: x["distance"] <= bound), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
