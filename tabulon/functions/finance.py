@@ -257,11 +257,11 @@ def xnpv(rate_: object, flows: Column) -> Val:
 
 
 def xirr(flows: Column, guess: object = 0.1) -> Val:
-    """Rate at which dated flows are worth nothing, of those up to the largest of PROBES."""
+    """Rate at which dated flows are worth nothing, of those between the ends of PROBES."""
     mixed = F.exists(flows, lambda p: p["value"] > 0) & F.exists(flows, lambda p: p["value"] < 0)
     worth, first = lambda r: _dated(r, flows), num(guess).v
     found = F.when(mixed, F.coalesce(_solve(worth, first), F.when(first > -1, _bisect(worth, first))))
-    found = bind([found], lambda r: F.when(r <= PROBES[-1], r))
+    found = bind([found], lambda r: F.when((r >= PROBES[0]) & (r <= PROBES[-1]), r))
     return guarded("number", found, F.when(found.isNull(), F.lit(NUM)))
 
 

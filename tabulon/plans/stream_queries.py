@@ -31,7 +31,7 @@ def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = averageifs(F.col("value").cast("double"), big)
     closed = windowed(
         _events(spark, sf_dir), "ts", width="1 day", late="2 hours", by=["event_type"],
-        total=F.round(sumifs(F.col("value"), big), 4), n=countifs(big), mean=F.round(mean.v, 4), error=mean.e,
+        total=F.round(sumifs(F.col("value"), big), 4), n=countifs(big), mean=F.round(mean.v, 9), error=mean.e,
     )
     last = spark.read.parquet(f"{sf_dir}/events.parquet").agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL 2 HOURS")).alias("_mark"))
     found = drain(closed)
@@ -41,7 +41,7 @@ def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HOURS_SQL = """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, round(coalesce(sum(value) FILTER (WHERE value >= 50), 0), 4) AS total, count(*) FILTER (WHERE value >= 50) AS n,
-       round(avg(value) FILTER (WHERE value >= 50), 4) AS mean, CASE WHEN count(*) FILTER (WHERE value >= 50) = 0 THEN '#DIV/0!' END AS error
+       round(avg(value) FILTER (WHERE value >= 50), 9) AS mean, CASE WHEN count(*) FILTER (WHERE value >= 50) = 0 THEN '#DIV/0!' END AS error
 FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY 1, 2
 """
 _AMOUNTS_SQL = """
