@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions.values import number, text
@@ -13,10 +13,15 @@ from tabulon.plans.formula import with_formula
 from tabulon.streaming.windows import drain, read_stream, windowed
 
 
+def _instant(column: str) -> Column:
+    """A time without zone as the instant that reads the same in UTC, whatever the session's zone is."""
+    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})"))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream, their time as an instant, with a row far ahead that closes every window."""
+    """The events as a stream, their time as an instant."""
     like = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return read_stream(spark, sf_dir, "events.parquet", like).withColumn("ts", F.col("ts").cast("timestamp"))
+    return read_stream(spark, sf_dir, "events.parquet", like).withColumn("ts", _instant("ts"))
 
 
 def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +38,10 @@ def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
         _events(spark, sf_dir), "ts", width="1 day", late="2 hours", by=["event_type"],
         total=F.round(sumifs(F.col("value"), big), 4), n=countifs(big), mean=F.round(mean.v, 9), error=mean.e,
     )
-    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL 2 HOURS")).alias("_mark"))
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg((F.max(_instant("ts")) - F.expr("INTERVAL 2 HOURS")).alias("_mark"))
     found = drain(closed)
     # what a batch closes depends on the watermark, which is known: windows that end by it
-    return found.join(F.broadcast(last), F.col("end") <= F.col("_mark")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "total", "n", "mean", "error")
+    return found.join(F.broadcast(last), F.col("end") <= F.col("_mark")).select(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("start") / 86400).cast("int")).cast("string").alias("day"), "event_type", "total", "n", "mean", "error")
 
 
 _HOURS_SQL = """

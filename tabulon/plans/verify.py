@@ -111,7 +111,11 @@ def verdicts(cases: DataFrame) -> DataFrame:
 
 
 def formulas(frame: DataFrame, formula: str, book: str, *, out: str = "value") -> DataFrame:
-    """A frame of (formula, workbook as JSON) rows with the value of each as JSON in ``out``."""
+    """A frame of (formula, workbook as JSON) rows with the value of each as JSON in ``out``.
+
+    A null formula gives null, a null workbook is an empty one; text that is no formula is #NAME?, a
+    workbook that is none #REF!, and a formula nested too deep to be read #VALUE!.
+    """
     schema = StructType([*frame.schema.fields, StructField(out, StringType())])
     at = (frame.columns.index(formula), frame.columns.index(book))
 
@@ -119,15 +123,25 @@ def formulas(frame: DataFrame, formula: str, book: str, *, out: str = "value") -
         for batch in batches:
             made = []
             for text, data in zip(*[batch.column(k).to_pylist() for k in at], strict=True):
-                try:
-                    made.append(None if text is None else json.dumps(encode(Engine(workbook(json.loads(data) if data else None)).evaluate(text))))
-                except FormulaError:
-                    made.append(json.dumps(encode(Err(V.NAME))))
+                made.append(None if text is None else json.dumps(encode(_evaluated(text, data))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, out])
 
     return frame.mapInArrow(run, schema)
 
 
+def _evaluated(text: str, data: str | None) -> object:
+    try:
+        book = workbook(json.loads(data) if data else None)
+    except (ValueError, TypeError, LookupError, AttributeError):
+        return Err(V.REF)
+    try:
+        return Engine(book).evaluate(text)
+    except FormulaError:
+        return Err(V.NAME)
+    except RecursionError:
+        return Err(V.VALUE)
+
+
 def by_file(judged: DataFrame) -> DataFrame:
     """Cases of each verdict by file."""
     count = lambda v: F.count_if(F.col("verdict") == v).alias(v if v != "error" else "failed_to_run")
