@@ -491,6 +491,22 @@ def test_long_near_copies_make_few_pairs(spark, monkeypatch):
     assert sum(pairs) < 48 * 47 / 2
 
 
+def test_hot_bucket_of_several_groups(spark, monkeypatch):
+    """One bucket with copies of three versions of a text and many edits too far from all others."""
+    monkeypatch.setattr(near_dup, "band_hashes", lambda signature, *a: np.ones((len(signature), near_dup.BANDS), dtype=np.int64))
+    rng = random.Random(21)
+    base = [f"w{rng.randint(0, 900)}" for _ in range(200)]
+    edit = lambda words, share: ["e" + str(rng.randint(0, 10**6)) if rng.random() < share else w for w in words]
+    versions = [base, edit(base, 0.12), edit(base, 0.12)]
+    rows = [(k, " ".join(edit(versions[k % 3], 0.006))) for k in range(60)] + [(k, " ".join(edit(base, 0.2))) for k in range(60, 130)]
+    verify, pairs = near_dup.verify, []
+    monkeypatch.setattr(near_dup, "verify", lambda p, *a: (pairs.append(p.count()), verify(p, *a))[1])
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = _components(rows, 5)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and len({c for _, c in want.values()}) > 60
+    assert sum(pairs) < 1000 < 130 * 129 / 2
+
+
 def test_bitmaps_bound_differences(spark):
     rng = np.random.default_rng(4)
     pool = rng.integers(1, 2**63, 6000).astype(np.uint64)
