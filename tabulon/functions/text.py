@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabulon.functions.values import FUNCTIONS, NA, VALUE, Val, as_int, as_val, down, error, first_error, function, guarded, num, plain, r15, trunc0, txt
+from tabulon.functions.values import FUNCTIONS, NA, VALUE, Val, as_int, as_val, bind, down, error, first_error, function, guarded, num, r15, trunc0, txt
 from tabulon.functions.values import _LOWER as _SMALL
 from tabulon.functions.values import _UPPER as _CAPITAL
 
@@ -386,26 +386,31 @@ def format_text(x: object, pattern: str) -> Val:
             shown = format_text(n, pattern)
             return guarded("text", F.when(num(a).e.isNull(), shown.v).otherwise(words.v), a.e)
         part = m["part"] or ""
-        scaled = r15(F.abs(n.v)) * (100.0 ** len(m["share"]))
-        p = 10.0 ** len(part)
-        rounded = down(scaled * p + 0.5)
-        whole = plain(down(rounded / p))
-        least = m["whole"].count("0")
-        whole = F.when(F.length(whole) < least, F.lpad(whole, least, "0")).otherwise(whole) if least > 1 else whole
-        if not least:
-            whole = F.when(whole == "0", "").otherwise(whole)
-        if "," in m["whole"]:
-            whole = F.regexp_replace(whole, r"(?<=\d)(?=(\d{3})+$)", ",")
-        shown = whole
-        if part:
-            digits = F.lpad((rounded % p).cast("bigint").cast("string"), len(part), "0")
-            optional = len(part) - len(part.rstrip("#"))
-            if optional:
-                digits = F.regexp_replace(digits, "0{1,%d}$" % optional, "")
-            shown = F.concat(whole, F.lit("."), digits)
+        p, least = 10.0 ** len(part), m["whole"].count("0")
         text_of = lambda s: "".join(x.strip('"') for x in re.findall(r'"[^"]*"|.', s))
-        sign = F.when((n.v < 0) & (rounded > 0), "-").otherwise("")
-        return guarded("text", F.concat(sign, F.lit(text_of(m["head"])), shown, F.lit(m["share"] + text_of(m["tail"]))), n.e)
+
+        def show(rounded: Column, whole: Column) -> Column:
+            """The text of a number whose last shown place is 1; whole is what stands before the point."""
+            whole = F.when(F.length(whole) < least, F.lpad(whole, least, "0")).otherwise(whole) if least > 1 else whole
+            if not least:
+                whole = F.when(whole == "0", "").otherwise(whole)
+            if "," in m["whole"]:
+                whole = F.regexp_replace(whole, r"(?<=\d)(?=(\d{3})+$)", ",")
+            shown = whole
+            if part:
+                digits = F.lpad((rounded % p).cast("bigint").cast("string"), len(part), "0")
+                optional = len(part) - len(part.rstrip("#"))
+                if optional:
+                    digits = F.regexp_replace(digits, "0{1,%d}$" % optional, "")
+                shown = F.concat(whole, F.lit("."), digits)
+            sign = F.when((n.v < 0) & (rounded > 0), "-").otherwise("")
+            return F.concat(sign, F.lit(text_of(m["head"])), shown, F.lit(m["share"] + text_of(m["tail"])))
+
+        def before_point(rounded: Column) -> Column:
+            return bind([rounded, down(rounded / p)], lambda r, w: show(r, F.when(w < 1e15, F.when(w < 1e15, w).cast("bigint").cast("string")).otherwise(F.replace(F.format_number(w, 0), F.lit(","), F.lit("")))))
+
+        rounded = down(r15(F.abs(n.v)) * (100.0 ** len(m["share"])) * p + 0.5)
+        return guarded("text", bind([rounded], before_point), n.e)
     tokens = _DATE_TOKENS.findall(pattern)
     if "".join(tokens) != pattern:
         return error(VALUE)
