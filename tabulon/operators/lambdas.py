@@ -12,7 +12,7 @@ from tabulon.operators.ordering import before_parts, in_order
 
 #: Running folds that a window or an aggregate does, by operator.
 ASSOCIATIVE = {"+": F.sum, "max": F.max, "min": F.min, "*": F.product}
-_JOINED: dict[str, Callable[[Column, Column], Column]] = {"+": lambda a, b: a + b, "*": lambda a, b: a * b, "max": lambda a, b: F.greatest(a, b), "min": lambda a, b: F.least(a, b)}
+JOINED: dict[str, Callable[[Column, Column], Column]] = {"+": lambda a, b: a + b, "*": lambda a, b: a * b, "max": lambda a, b: F.greatest(a, b), "min": lambda a, b: F.least(a, b)}
 
 
 def makearray(spark: SparkSession, rows: int, columns: int, body: Callable[[Column, Column], Column]) -> DataFrame:
@@ -39,7 +39,7 @@ def scan(frame: DataFrame, column: str, how: str, by: list[str], order: list[str
     before = before_parts(totals, fold(F.col("_total")), "_before")
     inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
     own = placed.withColumn("_own", fold(F.col(column)).over(inside)).join(F.broadcast(before), "_part")
-    joined = F.when(F.col("_before").isNull(), F.col("_own")).when(F.col("_own").isNull(), F.col("_before")).otherwise(_JOINED[how](F.col("_before"), F.col("_own")))
+    joined = F.when(F.col("_before").isNull(), F.col("_own")).when(F.col("_own").isNull(), F.col("_before")).otherwise(JOINED[how](F.col("_before"), F.col("_own")))
     return own.withColumn(out, joined).drop("_own", "_before", "_part", "_place")
 
 

@@ -491,7 +491,7 @@ def _scan(compiler: Compiler, args: list[Node]) -> Grid:
     frame, column = compiler.vector(args[1])
     how, seed = _associative(_lambda(compiler, args[2], 2)), _seed(args)
     made = B.scan(frame.select(ORD, F.col(column).cast("double").alias("_v")), "_v", how, [], [ORD], "value")
-    value = F.col("value") if seed is None else B._JOINED[how](F.lit(seed), F.col("value"))
+    value = F.col("value") if seed is None else B.JOINED[how](F.lit(seed), F.col("value"))
     return Grid(made.select(ORD, value.alias("value")), ["value"])
 
 
@@ -499,7 +499,7 @@ def _reduce(compiler: Compiler, args: list[Node]) -> DataFrame:
     frame, column = compiler.vector(args[1])
     how, seed = _associative(_lambda(compiler, args[2], 2)), _seed(args)
     total = B.ASSOCIATIVE[how](F.col(column).cast("double"))
-    value = total if seed is None else F.coalesce(B._JOINED[how](F.lit(seed), total), F.lit(seed))
+    value = total if seed is None else F.coalesce(B.JOINED[how](F.lit(seed), total), F.lit(seed))
     return frame.agg(value.alias("value")).withColumn("error", F.when(F.col("value").isNull(), F.lit("#CALC!")))
 
 
