@@ -180,6 +180,83 @@ def test_class_lm_words_beyond_the_core(spark):
         assert emit[1] - emit[0] == pytest.approx(math.log10((count[other] + 0.5) / (count[one] + 0.5)))
 
 
+def test_best_classes_is_best_class():
+    rng = np.random.default_rng(3)
+    pairs = rng.integers(0, 30, (6, 6)).astype(float)
+    a, right, left = rng.integers(0, 6, 200), np.zeros((200, 6)), np.zeros((200, 6))
+    for k in range(200):
+        # an item's own places are among those of its class
+        for _ in range(rng.integers(1, 5)):
+            r, f = rng.integers(0, 6, 2)
+            right[k, r] += 1
+            left[k, f] += 1
+    pairs += 10
+    want = [class_lm.best_class(pairs.copy(), int(a[k]), right[k], left[k], 0.0) for k in range(200)]
+    assert class_lm.best_classes(pairs, a, right, left).tolist() == want
+    assert class_lm.best_classes(pairs, a[:0], right[:0], left[:0]).tolist() == []
+
+
+def test_class_lm_rare_words_by_their_neighbours(spark, monkeypatch):
+    # two kinds of words, too rare or too long for an item of their own, that share their ending
+    monkeypatch.setattr(class_lm, "FREQUENT_SHARE", 20)
+    rng = random.Random(5)
+    kinds = [[f"{k}{n}{'x' * (n % 2 * 80)}same" for n in range(400)] for k in "ab"]
+    some = lambda k: rng.choice(kinds[k]) if rng.random() < 0.4 else ("alpha", "beta")[k]
+    texts = [" ".join(f"left {some(0)} right {some(1)}" for _ in range(50)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    items = class_lm.choose_items(class_lm.word_counts(docs))
+    assert set(items.counts) == {class_lm.END, b"left", b"right", b"alpha", b"beta"}
+    model = class_lm.fit(docs, items, classes=5)
+    trained = set(" ".join(texts).split())
+    a, b = ({int(model.of[items.item[w.encode()]]) for w in k if w in trained} for k in kinds)
+    assert not a & b
+    # a text that has them in each other's places is less likely
+    one, other = (next(w for w in k if w in trained) for k in kinds)
+    tests = spark.createDataFrame([(1, f"left {one} right {other}"), (2, f"left {other} right {one}")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in class_lm.score(tests, docs, classes=5).collect()}
+    assert got[1]["score"] > got[2]["score"] + 1
+    assert got[1]["base_score"] == pytest.approx(got[2]["base_score"])
+
+
+def test_class_lm_rare_classes_by_hand(docs, rows, monkeypatch):
+    """The class of each rare word by the classes beside its places, with words that stand next to themselves, in small parts."""
+    monkeypatch.setattr(class_lm, "FREQUENT_SHARE", 60)
+    monkeypatch.setattr(class_lm, "TASK_WORDS", 500)
+    monkeypatch.setattr(class_lm, "PASSED_ROWS", 7)
+    monkeypatch.setattr(class_lm, "JUDGED_ROWS", 16)
+    monkeypatch.setattr(class_lm, "KEPT_WORDS", 3)
+    seen, made = [], class_lm.rare_classes
+    monkeypatch.setattr(class_lm, "rare_classes", lambda *x: seen.append((x, made(*x))) or seen[0][1])
+    training = docs.where("doc_id % 5 <> 1")
+    items = class_lm.choose_items(class_lm.word_counts(training))
+    class_lm.fit(training, items, classes=6)
+    (_, _, own, by_ending, pairs), found = seen[0]
+    found = {bytes(r["word"]): (r["n"], r["class"]) for r in found.collect()}
+    texts = [[class_lm.END, *_words(r[1]), class_lm.END] for r in rows if r[0] is not None and r[0] % 5 != 1]
+    start = lambda w: int(own[items.own[w]] if w in items.own else by_ending[items.endings.get(class_lm.ending(w), -1)])
+    want = np.zeros((6, 6))
+    beside = {}
+    for t in texts:
+        for x, y in zip(t, t[1:], strict=False):
+            want[start(x), start(y)] += 1
+        for x, w, y in zip(t, t[1:], t[2:], strict=False):
+            if w not in items.own:
+                right, left, self_ = beside.setdefault(w, (np.zeros(6), np.zeros(6), [0]))
+                if y == w:
+                    self_[0] += 1
+                else:
+                    right[start(y)] += 1
+                if x != w:
+                    left[start(x)] += 1
+    assert (pairs == want).all() and set(found) == set(beside) and any(x[2][0] for x in beside.values())
+    for w, (right, left, self_) in beside.items():
+        best = class_lm.best_class(want.copy(), start(w), right, left, float(self_[0]))
+        assert found[w] == (right.sum() + self_[0], best)
+    # words beyond those that the driver holds are looked up
+    for w in sorted(found)[:4]:
+        assert items.item[w] == len(items.own) + found[w][1]
+
+
 @pytest.mark.parametrize("share", [1 << 18, 60])
 def test_class_lm_score_by_hand(docs, rows, monkeypatch, share):
     """The score from the classes, by counting class pairs and words; with a small share many words are rare."""
