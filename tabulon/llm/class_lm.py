@@ -5,12 +5,12 @@ last three letters of a word, are the core items that exchange clustering assign
 each item in turn moves to the class that raises the mutual information of adjacent classes
 most, until a sweep moves nothing. Every further word of the training texts, however rare or
 long, then moves to the class that raises it most, by the classes of its own neighbours: the
-frequent ones first, next all others, whose neighbours count by the class that their ending
-has as long as they are rare too. A token has the probability P(class | class before) *
-P(item | class) * P(word | item), each smoothed by adding 0.5. A frequent word is an item of
-its own, and the last factor is 1; the rare words of a class are one item together. A word that
-training does not have has no neighbours there: it counts as one of the rare words of the class
-that most words with its ending have. A text starts after an end.
+frequent words first, and with them the endings beyond the core, next all others, whose
+neighbours count by the class of their ending where they are rare too. A token has the
+probability P(class | class before) * P(item | class) * P(word | item), each smoothed by
+adding 0.5. A frequent word is an item of its own, and the last factor is 1; the rare words
+of a class are one item together. A word that training does not have has no neighbours there:
+it counts as one of the rare words of the class of its ending. A text starts after an end.
 
 What reaches the driver is bounded: words with at least 1/FREQUENT_SHARE of all tokens,
 endings with at least 1/ENDING_SHARE, counts of adjacent core items, and the class of each
@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import crc_bucket, materialise, small_batches, table
+from tabulon.llm.common import crc_bucket, discard, materialise, small_batches, table
 
 FREQUENT_SHARE = 1 << 18
 ENDING_SHARE = 1 << 12
@@ -205,10 +205,10 @@ class ItemOf(dict):
     words: DataFrame | None = None
     unheld = True
 
-    def learn(self, items: Items, words: DataFrame, unseen: np.ndarray) -> None:
+    def learn(self, items: Items, words: DataFrame, by_ending: np.ndarray) -> None:
         self.clear()
         self.update(items.own)
-        self.items, self.words, self.unseen, self.unheld = items, words, unseen, True
+        self.items, self.words, self.by_ending, self.unheld = items, words, by_ending, True
 
     def __missing__(self, word: bytes) -> int:
         if self.words is None:
@@ -220,7 +220,7 @@ class ItemOf(dict):
                 self[bytes(r["word"])] = first + r["class"]
             return self[word]
         found = self.words.where(F.col("word") == F.lit(word)).first() if len(self) - first >= KEPT_WORDS else None
-        self[word] = k = first + (found["class"] if found else int(self.unseen[self.items.endings.get(ending(word), -1)]))
+        self[word] = k = first + (found["class"] if found else int(self.by_ending[self.items.endings.get(ending(word), -1)]))
         return k
 
 
@@ -349,22 +349,26 @@ def adjacency(rows: DataFrame, own: np.ndarray, by_ending: np.ndarray, size: int
     return matrix(counted(rows.select("items", "endings"), codes), size)
 
 
-def assign(rows: DataFrame, items: Items, start: np.ndarray, by_ending: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """The class of every frequent word: of one beyond the core, the best one by the classes of its neighbours."""
-    first, classes = items.base, len(pairs)
-    if len(start) == first:
-        return start
+def assign(rows: DataFrame, items: Items, start: np.ndarray, by_ending: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of every frequent word and ending: of one beyond the core, the best one by the classes of its neighbours."""
+    classes, own = len(pairs), len(start)
+    start = np.concatenate((start, by_ending))
+    # the last number is that of all other endings
+    moves = np.ones(len(start), dtype=bool)
+    moves[: items.base] = moves[own : own + items.core_endings] = moves[-1] = False
+    if not moves.any():
+        return start[:own], start[own:]
     slots = 2 * classes + 1  # classes after, classes before, itself
-    shared = rows.sparkSession.sparkContext.broadcast((start, by_ending, pairs.astype(float)))
+    shared = rows.sparkSession.sparkContext.broadcast((start, moves, pairs.astype(float)))
 
     def codes(batch: pa.RecordBatch) -> np.ndarray:
         row, rare, ends = unpack(batch)
-        at = shared.value[0][row]
-        at[rare] = shared.value[1][ends]
+        row[rare] = own + ends
+        at, moved = shared.value[0][row], shared.value[1][row]
         a, b = row[:-1], row[1:]
         same = a == b
-        after, before, own = (a >= first) & ~same, (b >= first) & ~same, (a >= first) & same
-        return np.concatenate((a[after] * slots + at[1:][after], b[before] * slots + classes + at[:-1][before], a[own] * slots + 2 * classes))
+        after, before, self_ = moved[:-1] & ~same, moved[1:] & ~same, moved[:-1] & same
+        return np.concatenate((a[after] * slots + at[1:][after], b[before] * slots + classes + at[:-1][before], a[self_] * slots + 2 * classes))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, _, pairs = shared.value
@@ -380,7 +384,7 @@ def assign(rows: DataFrame, items: Items, start: np.ndarray, by_ending: np.ndarr
     found = met.groupBy("item").agg(F.collect_list("seen").alias("seen")).mapInArrow(judge, "item bigint, class bigint").toPandas()
     out = start.copy()
     out[found["item"].to_numpy(dtype=np.int64)] = found["class"].to_numpy(dtype=np.int64)
-    return out
+    return out[:own], out[own:]
 
 
 def number_type(classes: int) -> np.dtype:
@@ -480,30 +484,20 @@ def rare_classes(rows: DataFrame, items: Items, own: np.ndarray, by_ending: np.n
     return near.mapInArrow(run, "word binary, n bigint, class int")
 
 
-def unseen_classes(words: DataFrame, items: Items, by_ending: np.ndarray) -> np.ndarray:
-    """The class that most rare words of each ending have, for words that training does not have."""
-    known = F.when(last_letters().isin(list(items.endings)), last_letters()) if items.endings else F.lit(None).cast("string")
-    found = words.groupBy(known.alias("ending"), "class").count().collect()
-    out = by_ending.copy()
-    for r in sorted(found, key=lambda r: (r["count"], -r["class"])):
-        out[items.endings.get(r["ending"], -1)] = r["class"]
-    return out
-
-
 _PLACED = "doc_id bigint, scored boolean, trained boolean, n_tokens bigint, n_known bigint, logs double, classes binary"
 
 
-def place(rows: DataFrame, items: Items, of: np.ndarray, unseen: np.ndarray, words: DataFrame, classes: int) -> DataFrame:
+def place(rows: DataFrame, items: Items, of: np.ndarray, by_ending: np.ndarray, words: DataFrame, classes: int) -> DataFrame:
     """Every text's class of each token, `classes` more for rare words; how many are known, and the sum of log10(count + 0.5)."""
     kind = number_type(classes)
-    shared = rows.sparkSession.sparkContext.broadcast((of, unseen, items.own_counts()))
+    shared = rows.sparkSession.sparkContext.broadcast((of, by_ending, items.own_counts()))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, unseen, count = shared.value
+        of, by_ending, count = shared.value
         for batch in batches:
             row, rare, ends = unpack(batch)
             at = of[row]
-            at[rare] = classes + unseen[ends]
+            at[rare] = classes + by_ending[ends]
             logs, known = np.log10(count + 0.5)[row], (count > 0)[row].astype(np.int64)
             logs[rare] = known[rare] = 0
             n = np.array([len(x) // 4 for x in batch.column("items").to_pylist()], dtype=np.int64)
@@ -552,10 +546,9 @@ def fit_rows(rows: DataFrame, items: Items, classes: int) -> tuple[Model, DataFr
     core = exchange(seen, classes)
     by_ending = core[items.of_endings()]
     member = np.eye(classes)[core]
-    of = assign(trained, items, core[items.core], by_ending, member.T @ seen @ member)
+    of, by_ending = assign(trained, items, core[items.core], by_ending, member.T @ seen @ member)
     words = materialise(rare_classes(trained, items, of, by_ending, adjacency(trained, of, by_ending, classes)), "lm-words")
-    unseen = unseen_classes(words, items, by_ending)
-    placed = materialise(place(rows, items, of, unseen, words, classes), "lm-classes")
+    placed = materialise(place(rows, items, of, by_ending, words, classes), "lm-classes")
     shared = rows.sparkSession.sparkContext.broadcast(int(of[0]))
     kind = number_type(classes)
 
@@ -568,7 +561,7 @@ def fit_rows(rows: DataFrame, items: Items, classes: int) -> tuple[Model, DataFr
     for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         rare[r["class"]] = r["n"], r["words"]
     items.classes = classes
-    items.item.learn(items, words, unseen)
+    items.item.learn(items, words, by_ending)
     of = np.concatenate((of, np.arange(classes)))
     step = np.log10((pairs + 0.5) / (pairs.sum(1, keepdims=True) + 0.5 * classes))
     counts = np.concatenate((items.own_counts(), rare[:, 0])) + 0.5
@@ -589,7 +582,9 @@ def fit(docs: DataFrame, items: Items, classes: int = CLASSES) -> Model:
 
 def score_rows(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     """score of the flagged texts."""
-    items = choose_items(materialise(word_counts(docs.where("trained")), "lm-counts"))
+    counts = materialise(word_counts(docs.where("trained")), "lm-counts")
+    items = choose_items(counts)
+    discard(counts)
     model, placed = fit_rows(materialise(item_rows(docs, items), "lm-rows"), items, classes)
     own = len(items.own)
     # what an item's class takes from its own count's log: the same for all words of a class

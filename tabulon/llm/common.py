@@ -57,6 +57,15 @@ def materialise(frame: DataFrame, label: str, *, codec: str = "zstd") -> DataFra
 _MADE: list[str] = []
 
 
+def discard(frame: DataFrame) -> None:
+    """Delete a table that ``materialise`` has returned; nothing may read it any more."""
+    files = frame.inputFiles()
+    for path in [x for x in _MADE if any(f"/{x.rsplit('/', 1)[-1]}/" in f for f in files[:1])]:
+        _MADE.remove(path)
+        gone = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        gone.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def remove_intermediates(spark: SparkSession) -> int:
     """Delete the tables that ``materialise`` has written so far; results that read them have to be done."""
     made = 0

@@ -257,6 +257,34 @@ def test_class_lm_rare_classes_by_hand(docs, rows, monkeypatch):
         assert items.item[w] == len(items.own) + found[w][1]
 
 
+def test_class_lm_words_and_endings_beyond_the_core_by_hand(docs, rows, monkeypatch):
+    monkeypatch.setattr(class_lm, "FREQUENT_SHARE", 60)
+    monkeypatch.setattr(class_lm, "WORD_ITEMS", 3)
+    monkeypatch.setattr(class_lm, "ENDING_ITEMS", 2)
+    seen, made = [], class_lm.assign
+    monkeypatch.setattr(class_lm, "assign", lambda *x: seen.append((x, made(*x))) or seen[0][1])
+    training = docs.where("doc_id % 5 <> 1")
+    items = class_lm.choose_items(class_lm.word_counts(training))
+    class_lm.fit(training, items, classes=5)
+    (_, _, start, by_ending, pairs), (of, of_endings) = seen[0]
+    assert len(of) > items.base and len(of_endings) > items.core_endings + 1
+    number = lambda w: items.own[w] if w in items.own else len(of) + items.endings.get(class_lm.ending(w), len(items.endings))
+    first, beside = np.concatenate((start, by_ending)), {}
+    for r in rows:
+        if r[0] is not None and r[0] % 5 != 1:
+            t = [number(w) for w in [class_lm.END, *_words(r[1]), class_lm.END]]
+            for x, y in zip(t, t[1:], strict=False):
+                if x == y:
+                    beside.setdefault(x, np.zeros((3, 5)))[2, 0] += 1
+                else:
+                    beside.setdefault(x, np.zeros((3, 5)))[0, first[y]] += 1
+                    beside.setdefault(y, np.zeros((3, 5)))[1, first[x]] += 1
+    core = {*range(items.base), *range(len(of), len(of) + items.core_endings), len(first) - 1}
+    for k, (right, left, own) in beside.items():
+        best = first[k] if k in core else class_lm.best_class(pairs.astype(float), int(first[k]), right, left, own[0])
+        assert np.concatenate((of, of_endings))[k] == best
+
+
 @pytest.mark.parametrize("share", [1 << 18, 60])
 def test_class_lm_score_by_hand(docs, rows, monkeypatch, share):
     """The score from the classes, by counting class pairs and words; with a small share many words are rare."""
