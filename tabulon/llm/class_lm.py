@@ -15,9 +15,10 @@ it counts as one of the rare words of the class of its ending. A text starts aft
 What reaches the driver is bounded: words with at least 1/FREQUENT_SHARE of all tokens,
 endings with at least 1/ENDING_SHARE, counts of adjacent core items, and the class of each
 frequent word. The frequent words are broadcast. Rare words, their counts and classes stay
-distributed: a text's rare words are dealt by word, meet their class in a join, and come back
-to their text. As frequent words never enter that join, none of its keys has more than
-1/FREQUENT_SHARE of the rows, unless it is longer than FREQUENT_BYTES.
+distributed. Texts are put together in blocks of bounded size. The distinct rare words of each
+block are dealt by word, once, with the classes beside their places; what a word's class and
+count are found to be comes back to the blocks by the word's number there. A word has at most
+one row a block.
 
 Defined results: a null or empty text is an end alone; rows with equal ids are scored one by
 one; with no training text every count is 0; extra columns are ignored.
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain, repeat
 
@@ -55,8 +56,10 @@ KEPT_WORDS = 200_000
 TASK_WORDS = 500_000
 #: Rows that a task passes on at once.
 PASSED_ROWS = 50_000
-#: Neighbours that a task holds before it passes their sums on, and bytes of their words.
-TASK_NEIGHBOURS, TASK_BYTES = 2_000_000, 32 << 20
+#: Neighbours that a task holds before it passes their sums on.
+TASK_NEIGHBOURS = 2_000_000
+#: Bytes of the items and rare words of texts that make a block, unless one text alone has more.
+BLOCK_BYTES = 12 << 20
 #: Rows of rare words' neighbours that are judged together.
 JUDGED_ROWS = 8192
 
@@ -269,47 +272,95 @@ def choose_items(counts: DataFrame) -> Items:
     return Items({w: known[w] for w in words}, {w: k for k, w in enumerate(words)}, base, endings, core_endings, core, total, distinct)
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then their second ones and so on: that packs better than whole numbers."""
+    return np.ascontiguousarray(numbers).view("u1").reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype="u1").reshape(size, -1).T).view(kind).ravel()
+
+
+_BLOCK = "block bigint, doc_id array<bigint>, scored array<boolean>, trained array<boolean>, n array<int>, items binary, words array<binary>, endings binary"
+_TRAINED = ("trained", "n", "items", "endings")
+_TEXTS = ("block", "doc_id", "scored", "trained", "n")
+_NEAR = ["word", "seen", "block", "number"]
+#: A rare word's number in a block.
+_PLACE = np.dtype([("block", "<i8"), ("number", "<i4")])
+
+
 def item_rows(docs: DataFrame, items: Items) -> DataFrame:
-    """The items of each text in order, as 32-bit numbers, -1 for a rare word; its rare words in order and their endings, as 16-bit numbers.
+    """Blocks of texts, each with the distinct rare words of its texts and, as 16-bit numbers, the endings of these.
 
-    docs has doc_id, text, and whether a row is scored and trained on; rows are numbered.
+    doc_id, scored, trained and n (tokens) have an entry for each text; items are those of all tokens in order, as 32-bit
+    numbers in planes, and -1 - k for the block's rare word k. docs has doc_id, text, and whether a row is scored and trained on.
     """
     shared = docs.sparkSession.sparkContext.broadcast((items.own, items.endings))
-    names = ["row", "doc_id", "scored", "trained", "items", "rare", "endings"]
+    names = [c.split()[0] for c in _BLOCK.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, endings = shared.value
         numbers = pa.array(list(endings), pa.string())
-        at = TaskContext.get().partitionId() << 40
+        at, size = TaskContext.get().partitionId() << 32, 0
+        texts: list[tuple] = []
+        found: list[np.ndarray] = []
+        rare: list[bytes] = []
+
+        def block() -> pa.RecordBatch:
+            words = pa.array(rare, pa.binary()).dictionary_encode()
+            ids = np.concatenate(found)
+            ids[ids < 0] = -1 - words.indices.to_numpy()
+            ends = ending_numbers(words.dictionary, numbers).astype("<u2").tobytes()
+            each = [pa.array([list(x)], pa.list_(kind)) for x, kind in zip(zip(*texts, strict=True), (pa.int64(), pa.bool_(), pa.bool_(), pa.int32()), strict=True)]
+            own_words = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary)
+            for x in (texts, found, rare):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *each, pa.array([planes(ids)], pa.binary()), own_words, pa.array([ends], pa.binary())], names=names)
+
         for batch in batches:
-            rows, rare, ends = [], [], []
-            for t in batch.column(3).cast(pa.binary()).to_pylist():
+            for *text, t in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
                 words = tokens(t)
                 ids = np.fromiter(map(own.get, words, repeat(-1)), dtype="<i4", count=len(words))
-                rows.append(ids.tobytes())
-                rare.append([words[k] for k in np.flatnonzero(ids < 0).tolist()])
-            rare = pa.array(rare, pa.list_(pa.binary()))
-            number, place = ending_numbers(rare.flatten(), numbers).astype("<u2"), rare.offsets.to_numpy()
-            ends = [number[i:k].tobytes() for i, k in zip(place[:-1], place[1:], strict=True)]
-            row = pa.array(range(at, at + len(rows)), pa.int64())
-            at += len(rows)
-            yield pa.RecordBatch.from_arrays([row, *batch.columns[:3], pa.array(rows, pa.binary()), rare, pa.array(ends, pa.binary())], names=names)
+                texts.append((*text, len(words)))
+                found.append(ids)
+                more = [words[k] for k in np.flatnonzero(ids < 0).tolist()]
+                rare += more
+                size += 64 + 4 * len(words) + sum(map(len, more))
+                if size > BLOCK_BYTES:
+                    yield block()
+                    at, size = at + 1, 0
+        if texts:
+            yield block()
 
     small_batches(docs.sparkSession)
-    kinds = "row bigint, doc_id bigint, scored boolean, trained boolean, items binary, rare array<binary>, endings binary"
-    return docs.select(F.col("doc_id").cast("bigint"), "scored", "trained", "text").mapInArrow(run, kinds)
+    return docs.select(F.col("doc_id").cast("bigint"), "scored", "trained", "text").mapInArrow(run, _BLOCK)
+
 
+def keep_blocks(rows: DataFrame) -> DataFrame:
+    """materialise, with few blocks at once in memory."""
+    return materialise(rows, "lm-rows", **{"parquet.block.size": 2 * BLOCK_BYTES, "parquet.page.size.row.check.min": 1})
 
-def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The items of consecutive texts, after an end; the places of rare words among them, and these words' endings."""
-    row = np.frombuffer(b"".join(batch.column("items").to_pylist()), dtype="<i4").astype(np.int64)
-    row = np.concatenate(([0], row))
-    ends = np.frombuffer(b"".join(batch.column("endings").to_pylist()), dtype="<u2").astype(np.int64)
-    return row, np.flatnonzero(row < 0), ends
 
+def unpack(batch: pa.RecordBatch, every: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each block's place in the batch, and the items of its texts that are trained on, or of all, after an end.
+
+    Then the places of rare words among them, these words' numbers in the block and their endings.
+    """
+    for k in range(len(batch)):
+        row = from_planes(batch.column("items")[k].as_py(), "<i4")
+        if not every:
+            trained = np.array(batch.column("trained")[k].as_py(), dtype=bool)
+            row = row[np.repeat(trained, batch.column("n")[k].values.to_numpy())]
+        row = np.concatenate(([0], row)).astype(np.int64)
+        rare = np.flatnonzero(row < 0)
+        number = -1 - row[rare]
+        row[rare] = 0
+        yield k, row, rare, number, np.frombuffer(batch.column("endings")[k].as_py(), dtype="<u2").astype(np.int64)[number]
 
-def counted(rows: DataFrame, codes: Callable[[pa.RecordBatch], np.ndarray], hold: int = TASK_NEIGHBOURS) -> DataFrame:
-    """(code, n) of the codes that batches of texts give."""
+
+def counted(rows: DataFrame, codes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], hold: int = TASK_NEIGHBOURS) -> DataFrame:
+    """(code, n) of the codes that batches give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -320,9 +371,10 @@ def counted(rows: DataFrame, codes: Callable[[pa.RecordBatch], np.ndarray], hold
             return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
         for batch in batches:
-            held.append(codes(batch))
-            if sum(map(len, held)) > hold:
-                yield sums()
+            for found in codes(batch):
+                held.append(found)
+                if sum(map(len, held)) > hold:
+                    yield sums()
         yield sums()
 
     return rows.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
@@ -339,14 +391,14 @@ def adjacency(rows: DataFrame, own: np.ndarray, by_ending: np.ndarray, size: int
     """Counts of adjacent numbers below size, one of each frequent word and one of each ending of rare words."""
     shared = rows.sparkSession.sparkContext.broadcast((own, by_ending))
 
-    def codes(batch: pa.RecordBatch) -> np.ndarray:
-        row, rare, ends = unpack(batch)
+    def codes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         own, by_ending = shared.value
-        at = own[row]
-        at[rare] = by_ending[ends]
-        return at[:-1] * size + at[1:]
+        for _, row, rare, _, ends in unpack(batch):
+            at = own[row]
+            at[rare] = by_ending[ends]
+            yield at[:-1] * size + at[1:]
 
-    return matrix(counted(rows.select("items", "endings"), codes), size)
+    return matrix(counted(rows.select(*_TRAINED), codes), size)
 
 
 def assign(rows: DataFrame, items: Items, start: np.ndarray, by_ending: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -361,14 +413,14 @@ def assign(rows: DataFrame, items: Items, start: np.ndarray, by_ending: np.ndarr
     slots = 2 * classes + 1  # classes after, classes before, itself
     shared = rows.sparkSession.sparkContext.broadcast((start, moves, pairs.astype(float)))
 
-    def codes(batch: pa.RecordBatch) -> np.ndarray:
-        row, rare, ends = unpack(batch)
-        row[rare] = own + ends
-        at, moved = shared.value[0][row], shared.value[1][row]
-        a, b = row[:-1], row[1:]
-        same = a == b
-        after, before, self_ = moved[:-1] & ~same, moved[1:] & ~same, moved[:-1] & same
-        return np.concatenate((a[after] * slots + at[1:][after], b[before] * slots + classes + at[:-1][before], a[self_] * slots + 2 * classes))
+    def codes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, row, rare, _, ends in unpack(batch):
+            row[rare] = own + ends
+            at, moved = shared.value[0][row], shared.value[1][row]
+            a, b = row[:-1], row[1:]
+            same = a == b
+            after, before, self_ = moved[:-1] & ~same, moved[1:] & ~same, moved[:-1] & same
+            yield np.concatenate((a[after] * slots + at[1:][after], b[before] * slots + classes + at[:-1][before], a[self_] * slots + 2 * classes))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, _, pairs = shared.value
@@ -380,7 +432,7 @@ def assign(rows: DataFrame, items: Items, start: np.ndarray, by_ending: np.ndarr
                 best.append(best_class(pairs.copy(), int(start[w]), n[:classes], n[classes:-1], n[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(best, pa.int64())], names=["item", "class"])
 
-    met = counted(rows.select("items", "endings"), codes).select(F.expr(f"code DIV {slots}").alias("item"), F.struct((F.col("code") % slots).alias("slot"), "n").alias("seen"))
+    met = counted(rows.select(*_TRAINED), codes).select(F.expr(f"code DIV {slots}").alias("item"), F.struct((F.col("code") % slots).alias("slot"), "n").alias("seen"))
     found = met.groupBy("item").agg(F.collect_list("seen").alias("seen")).mapInArrow(judge, "item bigint, class bigint").toPandas()
     out = start.copy()
     out[found["item"].to_numpy(dtype=np.int64)] = found["class"].to_numpy(dtype=np.int64)
@@ -398,47 +450,33 @@ def _joined(parts: list[np.ndarray], offsets: np.ndarray) -> pa.Array:
 
 
 def rare_neighbours(rows: DataFrame, own: np.ndarray, by_ending: np.ndarray, classes: int) -> DataFrame:
-    """(word, seen) of the rare words: the class before and after each of some of a word's places, or `classes` for the word itself."""
+    """(word, seen, block, number) of each block's rare words: the class before and after each of a word's places in texts that are trained on, or `classes` for the word itself."""
     kind = number_type(classes)
     shared = rows.sparkSession.sparkContext.broadcast((own, by_ending))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, by_ending = shared.value
-        held: list[tuple[pa.Array, np.ndarray]] = []
-
-        def found() -> Iterator[pa.RecordBatch]:
-            words = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
-            number = words.indices.to_numpy()
-            seen = np.concatenate([x for _, x in held])[np.argsort(number, kind="stable")]
-            place = np.concatenate(([0], np.cumsum(np.bincount(number, minlength=len(words.dictionary)))))
-            held.clear()
-            for i in range(0, len(place) - 1, PASSED_ROWS):
-                part = place[i : i + PASSED_ROWS + 1]
-                data = _joined([seen[part[0] : part[-1]]], (part - part[0]) * 2 * kind.itemsize)
-                yield pa.RecordBatch.from_arrays([words.dictionary.slice(i, len(part) - 1), data], names=["word", "seen"])
-
         for batch in batches:
-            row, rare, ends = unpack(batch)
-            if not len(rare):
-                continue
-            words = batch.column("rare").flatten()
-            at = own[row]
-            at[rare] = by_ending[ends]
-            before, after = at[rare - 1], at[rare + 1]
-            number = words.dictionary_encode().indices.to_numpy()
-            twice = np.flatnonzero((np.diff(rare) == 1) & (np.diff(number) == 0))
-            after[twice] = before[twice + 1] = classes
-            held.append((words, np.column_stack((before, after)).astype(kind)))
-            if sum(len(x) for _, x in held) > TASK_WORDS or sum(w.nbytes for w, _ in held) > TASK_BYTES:
-                yield from found()
-        if held:
-            yield from found()
-
-    return rows.select("items", "endings", "rare").mapInArrow(run, "word binary, seen binary")
+            for k, row, rare, number, ends in unpack(batch):
+                words, block = batch.column("words")[k].values, batch.column("block")[k].as_py()
+                at = own[row]
+                at[rare] = by_ending[ends]
+                before, after = at[rare - 1], at[rare + 1]
+                twice = np.flatnonzero((np.diff(rare) == 1) & (np.diff(number) == 0))
+                after[twice] = before[twice + 1] = classes
+                seen = np.column_stack((before, after)).astype(kind)[np.argsort(number, kind="stable")]
+                place = np.concatenate(([0], np.cumsum(np.bincount(number, minlength=len(words)))))
+                for i in range(0, len(words), PASSED_ROWS):
+                    part = place[i : i + PASSED_ROWS + 1]
+                    n = len(part) - 1
+                    data = _joined([seen[part[0] : part[-1]]], (part - part[0]) * 2 * kind.itemsize)
+                    yield pa.RecordBatch.from_arrays([words.slice(i, n), data, pa.array(np.full(n, block)), pa.array(np.arange(i, i + n, dtype=np.int32))], names=_NEAR)
+
+    return rows.select("block", *_TRAINED, "words").mapInArrow(run, "word binary, seen binary, block bigint, number int")
 
 
 def rare_classes(rows: DataFrame, items: Items, own: np.ndarray, by_ending: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """(word, n, class) of every rare word of the training texts: the best class by the classes of its neighbours."""
+    """(word, n, class, places) of every rare word of the training texts: the best class by the classes of its neighbours, and its numbers in blocks."""
     classes = len(pairs)
     kind = number_type(classes)
     shared = rows.sparkSession.sparkContext.broadcast((by_ending, list(items.endings), pairs.astype(float)))
@@ -447,13 +485,15 @@ def rare_classes(rows: DataFrame, items: Items, own: np.ndarray, by_ending: np.n
         by_ending, endings, pairs = shared.value
         numbers = pa.array(endings, pa.string())
 
-        def judged(words: pa.Array, seen: pa.Array, new: np.ndarray) -> pa.RecordBatch:
+        def judged(words: pa.Array, seen: pa.Array, block: pa.Array, number: pa.Array, new: np.ndarray) -> pa.RecordBatch:
             first = np.flatnonzero(new)
             each = pc.binary_length(seen).to_numpy() // (2 * kind.itemsize)
             word = np.repeat(np.cumsum(new) - 1, each) * (classes + 1)
             at = np.frombuffer(b"".join(seen.to_pylist()), dtype=kind).reshape(-1, 2)
             left, right = (np.bincount(word + at[:, k], minlength=len(first) * (classes + 1)).reshape(-1, classes + 1).astype(float) for k in (0, 1))
-            words = words.take(pa.array(first))
+            # words that only texts to be scored have stay with the class of their ending
+            known = right.sum(1) > 0
+            left, right, words = left[known], right[known], words.take(pa.array(first[known]))
             start = by_ending[ending_numbers(words, numbers)]
             alone = right[:, classes] == 0
             best = start.copy()
@@ -461,7 +501,12 @@ def rare_classes(rows: DataFrame, items: Items, own: np.ndarray, by_ending: np.n
             for k in np.flatnonzero(~alone):
                 best[k] = best_class(pairs.copy(), int(start[k]), right[k, :classes], left[k, :classes], right[k, classes])
             n = pa.array(right.sum(1).astype(np.int64))
-            return pa.RecordBatch.from_arrays([words, n, pa.array(best.astype(np.int32))], names=["word", "n", "class"])
+            rows = np.diff(first, append=len(new))
+            places = np.empty(int(rows[known].sum()), dtype=_PLACE)
+            here = np.repeat(known, rows)
+            places["block"], places["number"] = block.to_numpy()[here], number.to_numpy()[here]
+            data = _joined([places.view("u1")], np.concatenate(([0], np.cumsum(rows[known]))) * _PLACE.itemsize)
+            return pa.RecordBatch.from_arrays([words, n, pa.array(best.astype(np.int32)), data], names=["word", "n", "class", "places"])
 
         held: list[pa.RecordBatch] = []
         for batch in chain(batches, [None]):
@@ -471,17 +516,52 @@ def rare_classes(rows: DataFrame, items: Items, own: np.ndarray, by_ending: np.n
                     continue
             if not held:
                 continue
-            words, seen = (pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1))
+            near = [pa.concat_arrays([x.column(k) for x in held]) for k in range(4)]
+            words = near[0]
             new = np.concatenate(([True], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)))
             # the last word may go on in the next batch
             end = len(words) if batch is None else int(np.flatnonzero(new)[-1])
-            held = [pa.RecordBatch.from_arrays([words[end:], seen[end:]], names=["word", "seen"])] if end < len(words) else []
+            held = [pa.RecordBatch.from_arrays([x[end:] for x in near], names=_NEAR)] if end < len(words) else []
             if end:
-                yield judged(words[:end], seen[:end], new[:end])
+                yield judged(*(x[:end] for x in near), new[:end])
 
     small_batches(rows.sparkSession)
     near = rare_neighbours(rows, own, by_ending, classes).repartition("word").sortWithinPartitions("word")
-    return near.mapInArrow(run, "word binary, n bigint, class int")
+    return near.mapInArrow(run, "word binary, n bigint, class int, places binary")
+
+
+def by_block(words: DataFrame, classes: int) -> DataFrame:
+    """(block, met): parts of the numbers, classes and counts of each block's rare words, in planes."""
+    kind = number_type(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def parts() -> pa.RecordBatch:
+            at, of, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((at["number"], at["block"]))
+            at, of, n = at[order], of[order], n[order]
+            first = np.flatnonzero(np.diff(at["block"], prepend=-1))
+            met = []
+            for i, k in zip(first, [*first[1:], len(at)], strict=True):
+                met.append(planes(np.diff(at["number"][i:k], prepend=0).astype("<i4")) + of[i:k].tobytes() + planes(n[i:k]))
+            return pa.RecordBatch.from_arrays([pa.array(at["block"][first]), pa.array(met, pa.binary())], names=["block", "met"])
+
+        for batch in batches:
+            each = pc.binary_length(batch.column("places")).to_numpy() // _PLACE.itemsize
+            of, n = batch.column("class").to_numpy().astype(kind), batch.column("n").to_numpy().astype("<i8")
+            held.append((np.frombuffer(b"".join(batch.column("places").to_pylist()), dtype=_PLACE), np.repeat(of, each), np.repeat(n, each)))
+            size += len(held[-1][0])
+            if size > TASK_NEIGHBOURS:
+                yield parts()
+                size = 0
+        if held:
+            yield parts()
+
+    met = words.select("n", "class", "places").mapInArrow(run, "block bigint, met binary")
+    return met.groupBy("block").agg(F.collect_list("met").alias("met"))
 
 
 _PLACED = "doc_id bigint, scored boolean, trained boolean, n_tokens bigint, n_known bigint, logs double, classes binary"
@@ -491,41 +571,49 @@ def place(rows: DataFrame, items: Items, of: np.ndarray, by_ending: np.ndarray,
     """Every text's class of each token, `classes` more for rare words; how many are known, and the sum of log10(count + 0.5)."""
     kind = number_type(classes)
     shared = rows.sparkSession.sparkContext.broadcast((of, by_ending, items.own_counts()))
+    names = [c.split()[0] for c in _PLACED.split(", ")]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, by_ending, count = shared.value
         for batch in batches:
-            row, rare, ends = unpack(batch)
-            at = of[row]
-            at[rare] = classes + by_ending[ends]
-            logs, known = np.log10(count + 0.5)[row], (count > 0)[row].astype(np.int64)
-            logs[rare] = known[rare] = 0
-            n = np.array([len(x) // 4 for x in batch.column("items").to_pylist()], dtype=np.int64)
-            start = np.cumsum(n) - n
-            data = _joined([at[1:].astype(kind)], np.concatenate(([0], np.cumsum(n))) * kind.itemsize)
-            parts = [pa.array(n), pa.array(np.add.reduceat(known[1:], start)), pa.array(np.add.reduceat(logs[1:], start)), data]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *parts], names=["row", *(c.split()[0] for c in _PLACED.split(", "))])
+            for k, row, rare, number, ends in unpack(batch, every=True):
+                at = of[row]
+                at[rare] = classes + by_ending[ends]
+                logs, known = np.log10(count + 0.5)[row[1:]], (count > 0)[row[1:]].astype(np.int64)
+                logs[rare - 1] = known[rare - 1] = 0
+                n = batch.column("n")[k].values.to_numpy()
+                start = np.cumsum(n) - n
+                sums = [pa.array([np.add.reduceat(x, start)]) for x in (known, logs)]
+                data = [pa.array([x], pa.binary()) for x in (at[1:].astype(kind).tobytes(), planes(number.astype("<i4")))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in _TEXTS), *sums, *data], names=[*_TEXTS, "n_known", "logs", "classes", "numbers"])
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known, logs, out = [], [], []
-            for row, n, log, more, met in zip(*(batch.column(c).to_pylist() for c in ("classes", "n_known", "logs", "rare_logs")), batch.column("met"), strict=True):
-                at = np.frombuffer(row, dtype=kind).copy()
-                rare = np.flatnonzero(at >= classes)
-                found = met.values.to_numpy() if met.is_valid else np.empty(0, dtype=np.int64)
-                at[rare[found // classes]] = classes + found % classes
-                known.append(n + len(found))
-                logs.append(log + (more or 0.0) + math.log10(0.5) * (len(rare) - len(found)))
-                out.append(at.tobytes())
-            parts = [pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(out, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "scored", "trained", "n_tokens")), *parts], names=[c.split()[0] for c in _PLACED.split(", ")])
+            for k in range(len(batch)):
+                at = np.frombuffer(batch.column("classes")[k].as_py(), dtype=kind).copy()
+                number = from_planes(batch.column("numbers")[k].as_py(), "<i4")
+                size = int(number.max(initial=-1)) + 1
+                met, count = np.full(size, -1), np.zeros(size)
+                for part in batch.column("met")[k].as_py() or ():
+                    some = len(part) // (4 + kind.itemsize + 8)
+                    here = np.cumsum(from_planes(part[: 4 * some], "<i4"))
+                    met[here] = np.frombuffer(part, dtype=kind, count=some, offset=4 * some)
+                    count[here] = from_planes(part[(4 + kind.itemsize) * some :], "<i8")
+                rare, found = np.flatnonzero(at >= classes), met[number]
+                at[rare] = np.where(found < 0, at[rare], classes + found)
+                more, more_logs = np.zeros(len(at), dtype=np.int64), np.zeros(len(at))
+                more[rare], more_logs[rare] = found >= 0, np.log10(count + 0.5)[number]
+                n = batch.column("n")[k].values.to_numpy().astype(np.int64)
+                start = np.cumsum(n) - n
+                known = batch.column("n_known")[k].values.to_numpy() + np.add.reduceat(more, start)
+                logs = batch.column("logs")[k].values.to_numpy() + np.add.reduceat(more_logs, start)
+                data = _joined([at], np.concatenate(([0], np.cumsum(n))) * kind.itemsize)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[k].values for c in ("doc_id", "scored", "trained")), pa.array(n), pa.array(known), pa.array(logs), data], names=names)
 
     small_batches(rows.sparkSession)
-    local = rows.select("row", "doc_id", "scored", "trained", "items", "endings").mapInArrow(first, "row bigint, " + _PLACED)
-    rare = rows.select("row", F.posexplode("rare").alias("place", "word")).join(words, "word")
-    code = F.col("place").cast("bigint") * classes + F.col("class")
-    found = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 0.5)).alias("rare_logs"), F.collect_list(code).alias("met"))
-    return local.join(found, "row", "left").mapInArrow(last, _PLACED)
+    kinds = "block bigint, doc_id array<bigint>, scored array<boolean>, trained array<boolean>, n array<int>, n_known array<bigint>, logs array<double>, classes binary, numbers binary"
+    local = rows.select(*_TEXTS, "items", "endings").mapInArrow(first, kinds)
+    return local.join(by_block(words, classes), "block", "left").mapInArrow(last, _PLACED)
 
 
 @dataclass
@@ -540,21 +628,22 @@ class Model:
 
 def fit_rows(rows: DataFrame, items: Items, classes: int) -> tuple[Model, DataFrame]:
     """The model of the texts that are trained on, and the classes of all texts' tokens."""
-    trained = rows.where("trained")
     size = items.base + items.core_endings + 1
-    seen = adjacency(trained, items.core, items.of_endings(), size)
+    seen = adjacency(rows, items.core, items.of_endings(), size)
     core = exchange(seen, classes)
     by_ending = core[items.of_endings()]
     member = np.eye(classes)[core]
-    of, by_ending = assign(trained, items, core[items.core], by_ending, member.T @ seen @ member)
-    words = materialise(rare_classes(trained, items, of, by_ending, adjacency(trained, of, by_ending, classes)), "lm-words")
+    of, by_ending = assign(rows, items, core[items.core], by_ending, member.T @ seen @ member)
+    words = materialise(rare_classes(rows, items, of, by_ending, adjacency(rows, of, by_ending, classes)), "lm-words")
     placed = materialise(place(rows, items, of, by_ending, words, classes), "lm-classes")
+    words = words.drop("places")
     shared = rows.sparkSession.sparkContext.broadcast(int(of[0]))
     kind = number_type(classes)
 
-    def codes(batch: pa.RecordBatch) -> np.ndarray:
+    def codes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         at = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=kind).astype(np.int64) % classes
-        return np.concatenate(([shared.value], at[:-1])) * classes + at if len(at) else at
+        if len(at):
+            yield np.concatenate(([shared.value], at[:-1])) * classes + at
 
     pairs = matrix(counted(placed.where("trained").select("classes"), codes), classes)
     rare = np.zeros((classes, 2))
@@ -576,7 +665,7 @@ def flagged(docs: DataFrame, *, scored: Column | bool, trained: Column | bool) -
 
 
 def fit(docs: DataFrame, items: Items, classes: int = CLASSES) -> Model:
-    rows = materialise(item_rows(flagged(docs, scored=False, trained=True), items), "lm-rows")
+    rows = keep_blocks(item_rows(flagged(docs, scored=False, trained=True), items))
     return fit_rows(rows, items, classes)[0]
 
 
@@ -585,7 +674,7 @@ def score_rows(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     counts = materialise(word_counts(docs.where("trained")), "lm-counts")
     items = choose_items(counts)
     discard(counts)
-    model, placed = fit_rows(materialise(item_rows(docs, items), "lm-rows"), items, classes)
+    model, placed = fit_rows(keep_blocks(item_rows(docs, items)), items, classes)
     own = len(items.own)
     # what an item's class takes from its own count's log: the same for all words of a class
     whole = model.emit[:own] - np.log10(items.own_counts() + 0.5)

@@ -41,14 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
-def materialise(frame: DataFrame, label: str, *, codec: str = "zstd") -> DataFrame:
-    """Write the rows to a new Parquet table in the shared folder and read them back.
+def materialise(frame: DataFrame, label: str, *, codec: str = "zstd", **options: int) -> DataFrame:
+    """Write the rows to a new Parquet table in the shared folder, by the writer's options, and read them back.
 
     That cuts the lineage: a lost executor costs the tasks it ran, not the stages before.
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    frame.write.option("compression", codec).parquet(path)
+    frame.write.options(compression=codec, **options).parquet(path)
     _MADE.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -326,6 +326,47 @@ def test_class_lm_score_by_hand(docs, rows, monkeypatch, share):
             assert r["score"] == pytest.approx(want([*_words(by_id[r["doc_id"]]), class_lm.END]), rel=1e-9)
 
 
+def _shuffled_rows(spark):
+    """Rows that the session's stages have written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_class_lm_moves_a_rare_word_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "FREQUENT_SHARE", 60)
+    rng = random.Random(3)
+    words = [f"{k}same" for k in range(300)] * 40
+    rng.shuffle(words)
+    docs = spark.createDataFrame([(k, " ".join(words[k::20])) for k in range(20)], "doc_id bigint, text string").coalesce(1)
+    before, most = _shuffled_rows(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = class_lm.score(docs, docs.where("doc_id < 15"), classes=6).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert len(got) == 20 and all(r["n_known"] == r["n_tokens"] == 601 for r in got)
+    # the texts have 21,000 of them, as those trained on are texts of their own
+    assert _shuffled_rows(spark) - before < 4000
+
+
+@pytest.mark.parametrize("size", [0, 2000])
+def test_class_lm_scores_do_not_depend_on_blocks(docs, monkeypatch, size):
+    monkeypatch.setattr(class_lm, "FREQUENT_SHARE", 60)
+    training = docs.where("doc_id % 3 = 1")
+    scores = lambda: {(r["doc_id"], r["n_tokens"]): r for r in class_lm.score(docs, training, classes=6).collect()}
+    want = scores()
+    assert any(r["n_known"] < r["n_tokens"] for r in want.values())
+    monkeypatch.setattr(class_lm, "BLOCK_BYTES", size)
+    monkeypatch.setattr(class_lm, "TASK_NEIGHBOURS", 50)
+    monkeypatch.setattr(class_lm, "PASSED_ROWS", 7)
+    got = scores()
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert r["n_known"] == want[k]["n_known"]
+        assert r["base_score"] == pytest.approx(want[k]["base_score"], rel=1e-9) and r["score"] == pytest.approx(want[k]["score"], rel=1e-9)
+
+
 def test_code_search(spark):
     rng = np.random.default_rng(3)
     vectors = [(k, rng.normal(size=64).tolist(), 1) for k in range(300)] + [(k, [1.0] * 64, 1) for k in range(300, 340)] + [(400, None, 1), (None, [1.0] * 64, 1), (401, [], 1)]
